@@ -1,16 +1,16 @@
 """Exact grouped quantiles of positive numbers without gathering a group in one task.
 
-The number's position among all doubles is split into three digits. One pass counts the
-first digit of every value (a partial aggregate), finds the digit that holds the wanted
-rank, and the next pass looks only at values with that digit. After three passes the
-value is known exactly. A step never holds more than the 2**21 digit counts of one group.
+A positive double's place among all doubles is split into three digits. Counting the
+first digit of every row (map-side combined) tells which digit holds the wanted rank; the
+next pass counts only rows with that digit. After three passes the value is known exactly.
+Rows are never shuffled, only digit counts: at most 2**21 per group and pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.operators.joins import null_safe_join
@@ -34,10 +34,9 @@ def _position(value: Column) -> Column:
 
 
 def _number(position: Column) -> Column:
-    exponent = F.shiftright(position, 52)
-    mantissa = position.bitwiseAND(F.lit(2**52 - 1))
-    power = F.pow(F.lit(2.0), (exponent - _EXPONENT_SHIFT).cast("double"))
-    return (F.lit(1.0) + mantissa.cast("double") / _MANTISSA) * power
+    exponent = F.shiftright(position, 52) - _EXPONENT_SHIFT
+    mantissa = position.bitwiseAND(F.lit(2**52 - 1)).cast("double") / _MANTISSA
+    return (1.0 + mantissa) * F.pow(F.lit(2.0), exponent.cast("double"))
 
 
 def positive_quantiles(
@@ -45,91 +44,66 @@ def positive_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of the positive values per group, one column each."""
     groups = list(groups)
-    # Equal values collapse before anything is shuffled.
-    counts = (
-        df.where((F.col(value) > 0.0) & (F.col(value) < float("inf")))
-        .groupBy(*groups, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_position", _position(F.col("_v")))
-        .select(
-            *groups,
-            "_n",
-            F.shiftright("_position", 42).alias("_d0"),
-            F.shiftright("_position", 21).bitwiseAND(F.lit(_DIGIT - 1)).alias("_d1"),
-            F.col("_position").bitwiseAND(F.lit(_DIGIT - 1)).alias("_d2"),
-        )
+    position = _position(F.col(value).cast("double"))
+    rows = df.where((F.col(value) > 0.0) & (F.col(value) < float("inf"))).select(
+        *groups,
+        F.shiftright(position, 42).alias("_d0"),
+        F.shiftright(position, 21).bitwiseAND(F.lit(_DIGIT - 1)).alias("_d1"),
+        position.bitwiseAND(F.lit(_DIGIT - 1)).alias("_d2"),
     )
-    wanted = (
-        counts.groupBy(*groups)
-        .agg(F.sum("_n").alias("_total"))
-        .select(*groups, F.explode(_ranks(F.col("_total"), quantiles)).alias("_w"))
-        .select(*groups, "_w.*")
-    )
-    prefix: list[str] = []
-    for digit in ("_d0", "_d1", "_d2"):
-        wanted = _descend(counts, wanted, groups, prefix, digit)
-        prefix = [*prefix, digit]
-    position = (
-        F.shiftleft(F.col("_d0"), 42) + F.shiftleft(F.col("_d1"), 21) + F.col("_d2")
+    whole = Window.partitionBy(*groups)
+    bins = (
+        rows.groupBy(*groups, "_d0")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(_running(groups, "_d0")))
+        .withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_request", F.explode(_requests(F.col("_total"), quantiles)))
+        .select(*groups, "_d0", "_n", "_end", "_request.*")
     )
-    picked = wanted.select(*groups, "name", "upper", "share", _number(position).alias("_x"))
+    wanted = _hits(bins, groups, ["_d0"])
+    for prefix, digit in ((["_d0"], "_d1"), (["_d0", "_d1"], "_d2")):
+        keys = [*groups, "_id", "_share", "_rank", *prefix]
+        bins = (
+            null_safe_join(rows, wanted, [*groups, *prefix], "inner")
+            .groupBy(*keys, digit)
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_end", F.sum("_n").over(_running([*groups, "_id"], digit)))
+        )
+        wanted = _hits(bins, groups, [*prefix, digit])
+    place = F.shiftleft(F.col("_d0"), 42) + F.shiftleft(F.col("_d1"), 21) + F.col("_d2")
+    picked = wanted.withColumn("_x", _number(place))
     columns = []
-    for name in quantiles:
-        mine = F.col("name") == name
-        low = F.max(F.when(mine & ~F.col("upper"), F.col("_x")))
-        high = F.max(F.when(mine & F.col("upper"), F.col("_x")))
-        share = F.max(F.when(mine, F.col("share")))
+    for i, name in enumerate(quantiles):
+        low = F.max(F.when(F.col("_id") == 2 * i, F.col("_x")))
+        high = F.max(F.when(F.col("_id") == 2 * i + 1, F.col("_x")))
+        share = F.max(F.when(F.col("_id") == 2 * i, F.col("_share")))
         columns.append((low + (high - low) * share).alias(name))
     return picked.groupBy(*groups).agg(*columns)
 
 
-def _ranks(total: Column, quantiles: dict[str, float]) -> Column:
+def _running(keys: list[str], digit: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _requests(total: Column, quantiles: dict[str, float]) -> Column:
     """Zero-based ranks of the two neighbours of every quantile."""
     entries = []
-    for name, q in quantiles.items():
+    for i, q in enumerate(quantiles.values()):
         place = (total - 1).cast("double") * F.lit(q)
-        for upper, rank in ((False, F.floor(place)), (True, F.ceil(place))):
+        for side, rank in ((0, F.floor(place)), (1, F.ceil(place))):
             entries.append(
                 F.struct(
-                    F.lit(name).alias("name"),
-                    F.lit(upper).alias("upper"),
-                    (place - F.floor(place)).alias("share"),
-                    rank.cast("long").alias("rank"),
+                    F.lit(2 * i + side).alias("_id"),
+                    (place - F.floor(place)).alias("_share"),
+                    rank.cast("long").alias("_rank"),
                 )
             )
     return F.array(*entries)
 
 
-def _descend(
-    counts: DataFrame, wanted: DataFrame, groups: list[str], prefix: list[str], digit: str
-) -> DataFrame:
-    """Find the next digit of each wanted rank and the rank left inside it."""
-    keys = [*groups, *prefix]
-    # At most two entries per quantile and group.
-    requests = wanted.groupBy(*keys).agg(
-        F.collect_list(F.struct("name", "upper", "share", "rank")).alias("_requests")
-    )
-    if prefix:
-        counts = null_safe_join(counts, requests.select(*keys), keys, "left_semi")
-    below = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        counts.groupBy(*keys, digit)
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_end", F.sum("_n").over(below))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    hit = F.filter(
-        "_requests", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))
-    )
-    return (
-        null_safe_join(bins, requests, keys, "inner")
-        .select(*keys, digit, "_start", F.explode(hit).alias("_r"))
-        .select(
-            *keys,
-            digit,
-            "_r.name",
-            "_r.upper",
-            "_r.share",
-            (F.col("_r.rank") - F.col("_start")).alias("rank"),
-        )
+def _hits(bins: DataFrame, groups: list[str], prefix: list[str]) -> DataFrame:
+    """Bins that hold a wanted rank, with the rank left inside them."""
+    start = F.col("_end") - F.col("_n")
+    return bins.where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end"))).select(
+        *groups, *prefix, "_id", "_share", (F.col("_rank") - start).alias("_rank")
     )
