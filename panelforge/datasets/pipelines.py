@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from panelforge.operators import anomaly, fuels, panel, repair
 from panelforge.operators.crosswalk import apply_crosswalk
+from panelforge.sources.staging import stage
 
 YEAR = "reportingYear"
 PART = "Installation_Part_INSPIRE_ID"
@@ -17,6 +18,7 @@ def energy_inputs(
 ) -> DataFrame:
     """Standard fuels, full panel, repair against emissions, CO2 by emission factor."""
     standard = fuels.standardise_fuels(energy)
+    standard = stage(standard, "standard_fuels")
     balanced = panel.balance(standard, YEAR, [PART, *repair.FUEL_KEY])
     repaired = repair.repair_energy(balanced, emissions)
     return repaired if factors is None else fuels.estimate_co2(repaired, factors)
@@ -50,6 +52,8 @@ def pollutant_releases(
         releases = panel.balance(releases, YEAR, series)
         releases = releases.where("pollutantCode IS NOT NULL AND medium IS NOT NULL")
         releases = anomaly.drop_ambiguous(releases, value, [*series, YEAR])
+        # The panel is read for targets, proxies, bounds and the final update.
+        releases = stage(releases, "release_panel")
         releases = repair.repair_releases(releases, strict_parity=strict_parity)
         releases = repair.void_biomass_errors(releases)
     if imputed:

@@ -20,17 +20,33 @@ _DIGIT = 2**21
 _EXPONENT_SHIFT = 1075
 
 
-def _position(value: Column) -> Column:
-    """Order-preserving integer of a positive double (exact: only powers of two divide)."""
-    two = F.lit(2.0)
-    guess = F.floor(F.log2(value))
-    exponent = (
-        F.when(F.pow(two, guess.cast("double")) > value, guess - 1)
-        .when(F.pow(two, (guess + 1).cast("double")) <= value, guess + 1)
-        .otherwise(guess)
+def _with_digits(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """Digits of an order-preserving integer of a positive double.
+
+    Exact: the exponent is corrected after rounding and only powers of two divide.
+    """
+    two, v, e = F.lit(2.0), F.col("_v"), F.col("_e")
+    corrected = (
+        F.when(F.pow(two, e) > v, e - 1).when(F.pow(two, e + 1) <= v, e + 1).otherwise(e)
+    )
+    fraction = ((v / F.pow(two, e) - 1.0) * _MANTISSA).cast("long")
+    place = F.col("_place")
+    return (
+        df.where((F.col(value) > 0.0) & (F.col(value) < float("inf")))
+        .select(*groups, F.col(value).cast("double").alias("_v"))
+        .select(*groups, "_v", F.floor(F.log2("_v")).cast("double").alias("_e"))
+        .select(*groups, "_v", corrected.alias("_e"))
+        .select(
+            *groups,
+            ((e + _EXPONENT_SHIFT).cast("long") * F.lit(2**52) + fraction).alias("_place"),
+        )
+        .select(
+            *groups,
+            F.shiftright(place, 42).alias("_d0"),
+            F.shiftright(place, 21).bitwiseAND(F.lit(_DIGIT - 1)).alias("_d1"),
+            place.bitwiseAND(F.lit(_DIGIT - 1)).alias("_d2"),
+        )
     )
-    fraction = value / F.pow(two, exponent.cast("double")) - 1.0
-    return (exponent + _EXPONENT_SHIFT) * F.lit(2**52) + (fraction * _MANTISSA).cast("long")
 
 
 def _number(position: Column) -> Column:
@@ -44,13 +60,7 @@ def positive_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of the positive values per group, one column each."""
     groups = list(groups)
-    position = _position(F.col(value).cast("double"))
-    rows = df.where((F.col(value) > 0.0) & (F.col(value) < float("inf"))).select(
-        *groups,
-        F.shiftright(position, 42).alias("_d0"),
-        F.shiftright(position, 21).bitwiseAND(F.lit(_DIGIT - 1)).alias("_d1"),
-        position.bitwiseAND(F.lit(_DIGIT - 1)).alias("_d2"),
-    )
+    rows = _with_digits(df, value, groups)
     whole = Window.partitionBy(*groups)
     bins = (
         rows.groupBy(*groups, "_d0")

@@ -19,6 +19,7 @@ from panelforge.functions.series import (
 from panelforge.operators.anomaly import flag_jumps, flag_outliers, paired_series_errors
 from panelforge.operators.joins import null_safe_join
 from panelforge.operators.panel import interpolate
+from panelforge.sources.staging import stage
 
 FUEL_KEY = ("fuelInputCode", "otherSolidFuelCode", "otherGaseousFuelCode")
 
@@ -95,7 +96,8 @@ def repair_releases(
     """
     medium, code = target
     series = ["medium", "pollutantCode"]
-    ratios = release_ratios(df, unit, time, value, target)
+    # Read once for the ratios, three times for the quantile band.
+    ratios = stage(release_ratios(df, unit, time, value, target), "release_ratios")
     judged = flag_outliers(
         ratios,
         reference="ratio",
@@ -263,7 +265,10 @@ def repair_energy(
 
     ``energy`` is a balanced panel by unit and fuel, ``emissions`` balanced and repaired.
     """
-    ratios = energy_ratios(energy, emissions, unit, time, value, quantity)
+    # Read once for the verdicts, three times for the quantile band.
+    ratios = stage(
+        energy_ratios(energy, emissions, unit, time, value, quantity), "energy_ratios"
+    )
     scalars = energy_scalars(ratios, unit, time)
     series = [unit, *fuel_key]
     v, off = F.col(value), F.col("_off")

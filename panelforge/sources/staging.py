@@ -27,7 +27,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and continue from it, for plans that are read several times."""
+    """Write a table once and continue from it, for plans that are read several times.
+
+    The copy lives on shared storage, so a lost executor only costs re-reading it, and its
+    measured size lets Spark choose join strategies for whatever follows.
+    """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
