@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from panelforge.plans import panels, registers, relational, repairs  # noqa: F401
+from panelforge.plans import linking, panels, registers, relational, repairs  # noqa: F401
 from panelforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
