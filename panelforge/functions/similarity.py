@@ -16,11 +16,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def _jaro_winkler(left: bytes, right: bytes) -> float:
     """Jaro similarity, raised by up to four shared leading bytes once above 0.7."""
-    if left == right:
-        return 1.0
     n, m = len(left), len(right)
     if not n or not m:
         return 0.0
+    if left == right:
+        return 1.0
     reach = max(max(n, m) // 2 - 1, 0)
     taken = bytearray(m)
     matched = bytearray()
