@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from panelforge.constants import DATASET_VERSIONS, LATEST_VERSION, NA_VALUES
-from panelforge.sources.csv_source import read_typed_csv
+from panelforge.sources.csv_source import cast_text, read_typed_csv
 from panelforge.sources.plant_tables import PLANT_TABLES
 from panelforge.sources.register_tables import REGISTER_TABLES
 from panelforge.sources.reporting_tables import REPORTING_TABLES
@@ -69,11 +69,10 @@ class Catalog:
         return self._read(f"plants/{table}.csv", PLANT_TABLES[table], table)
 
     def crosswalk(self, name: str) -> DataFrame:
-        return self.spark.read.csv(
-            f"{self.root}/crosswalks/{name}.csv",
-            schema=schema_of(CROSSWALKS[name]),
-            header=True,
-            enforceSchema=False,
+        """Small lookup file: declared columns by name, no copy is kept."""
+        raw = self.spark.read.csv(f"{self.root}/crosswalks/{name}.csv", header=True)
+        return raw.select(
+            *[cast_text(f.name, f.dataType) for f in schema_of(CROSSWALKS[name])]
         )
 
     def loader(self, table: str):
