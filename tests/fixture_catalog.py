@@ -73,7 +73,7 @@ def _reporting(folder: str, v: int) -> None:
                 {"fileId_EUReg": y, "Parent_Site_INSPIRE_ID": f"S{i}",
                  "Facility_INSPIRE_ID": f"F{i}", "ProductionFacility_thematicId": f"{i:07d}",
                  "parentCompanyName": s["company"] if i % 7 else "CONFIDENTIAL",
-                 "nameOfFeature": f"{s['name']} v{v}", "facilityType": "EPRTR",
+                 "nameOfFeature": s["name"] if i % 3 else f"{s['name']} v{v}", "facilityType": "EPRTR",
                  "streetName": s["street"], "buildingNumber": str(i), "city": s["city"],
                  "postalCode": s["postal"], "countryCode": s["country"],
                  "mainActivityCode": s["activity"], "dateOfStartOfOperation": "01/15/75 00:00:00",

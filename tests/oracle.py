@@ -53,9 +53,8 @@ def canonical(rows, columns):
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, connection, sf_dir, name, function, sql):
+def compare(connection, frame, sql):
     """None if equal, else a short description of the first difference."""
-    frame = function(spark, sf_dir)
     mine = [tuple(r) for r in frame.collect()]
     relation = connection.sql(sql)
     theirs = relation.fetchall()
@@ -96,7 +95,7 @@ def main() -> None:
         start = time.time()
         try:
             if name in oracles:
-                problem = compare(spark, connection, sf_dir, name, function, oracles[name])
+                problem = compare(connection, function(spark, sf_dir), oracles[name])
                 n = len(connection.sql(oracles[name]).fetchall()) if not problem else -1
             else:
                 n = len(function(spark, sf_dir).collect())

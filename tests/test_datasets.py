@@ -175,9 +175,13 @@ def test_deduplicate_facilities_job(catalog, spark):
             "reportingYear": F.col("reportingYear") - 8,
         }
     )
+    functions = loaders.plain(catalog, "facility_function")
+    old_functions = functions.withColumn(
+        "Facility_INSPIRE_ID", F.concat(F.lit("OLD"), "Facility_INSPIRE_ID")
+    )
     data = deduplicate_facilities.records(
         stacked.unionByName(old),
-        loaders.plain(catalog, "facility_function"),
+        functions.unionByName(old_functions),
         releases.unionByName(old_releases),
     )
     got = deduplicate_facilities.crosswalk(data).collect()

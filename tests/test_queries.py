@@ -15,18 +15,15 @@ def connection():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_oracle(spark, connection, name):
-    if name in ORACLES:
-        assert compare(spark, connection, SF_DIR, name, QUERIES[name], ORACLES[name]) is None
-    else:
-        assert QUERIES[name](spark, SF_DIR).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_has_no_pairwise_join(spark, name):
-    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+def test_query(spark, connection, name):
+    frame = QUERIES[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+    if name in ORACLES:
+        assert compare(connection, frame, ORACLES[name]) is None
+    else:
+        assert frame.count() > 0
 
 
 def test_entry(spark):
