@@ -13,6 +13,7 @@ from panelforge.operators.joins import (
     union_distinct_by_name,
 )
 from panelforge.operators.panel import fill_from_latest
+from panelforge.sources.staging import stage
 
 FACILITY = "Facility_INSPIRE_ID"
 PART = "Installation_Part_INSPIRE_ID"
@@ -66,6 +67,8 @@ def facility_master(
     ``stacked`` is the latest row per key over all versions, ``older`` the register's
     facilities with year, ``links`` the scored links between the two.
     """
+    # All versions in one table: read for the union and for the keys it already has.
+    stacked = stage(stacked, "facility_versions")
     mapped = older.join(best_register_links(links), "FacilityID", "inner").select(
         FACILITY,
         F.col("ReportingYear").alias(YEAR),
@@ -73,6 +76,7 @@ def facility_master(
         F.col("FacilityName").alias("nameOfFeature"),
     )
     combined = union_distinct_by_name(stacked, rows_not_listed(mapped, stacked, FACILITY, YEAR))
+    combined = stage(combined, "facility_years")
     attributes = [c for c in combined.columns if c not in (FACILITY, YEAR)]
     filled = fill_from_latest(combined, attributes, [FACILITY], YEAR)
     return filled if clusters is None else apply_crosswalk(filled, clusters, FACILITY)

@@ -28,31 +28,27 @@ def _cell_axes(lat: Column, lon: Column, km: float) -> list[Column]:
     return [F.floor(axis / width) for axis in axes]
 
 
-def _cell_name(axes: list[Column]) -> Column:
-    return F.concat_ws("|", *[a.cast("string") for a in axes])
+def _cell_key(tag: str, axes: list[Column]) -> Column:
+    return F.xxhash64(F.lit(tag), *axes)
 
 
-def own_cell(lat: Column, lon: Column, km: float) -> Column:
+def _if_placed(lat: Column, lon: Column, cells: Column) -> Column:
+    nowhere = F.array().cast("array<bigint>")
+    return F.when(lat.isNotNull() & lon.isNotNull(), cells).otherwise(nowhere)
+
+
+def own_cell(tag: str, lat: Column, lon: Column, km: float) -> Column:
     """The point's cell as a one-element array; empty where a coordinate is missing."""
-    cell = F.array(_cell_name(_cell_axes(lat, lon, km)))
-    return F.when(lat.isNotNull() & lon.isNotNull(), cell).otherwise(F.array().cast("array<string>"))
+    return _if_placed(lat, lon, F.array(_cell_key(tag, _cell_axes(lat, lon, km))))
 
 
-def near_cells(lat: Column, lon: Column, km: float) -> Column:
+def near_cells(tag: str, lat: Column, lon: Column, km: float) -> Column:
     """All cells that can hold a point within the distance: the cell and its neighbours."""
     x, y, z = _cell_axes(lat, lon, km)
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    cells = F.flatten(
-        F.transform(
-            steps,
-            lambda i: F.flatten(
-                F.transform(
-                    steps,
-                    lambda j: F.transform(steps, lambda k: _cell_name([x + i, y + j, z + k])),
-                )
-            ),
-        )
-    )
-    return F.when(lat.isNotNull() & lon.isNotNull(), cells).otherwise(
-        F.array().cast("array<string>")
-    )
+    cells = [
+        _cell_key(tag, [x + i, y + j, z + k])
+        for i in (-1, 0, 1)
+        for j in (-1, 0, 1)
+        for k in (-1, 0, 1)
+    ]
+    return _if_placed(lat, lon, F.array(*cells))

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.ordered import ordered_text
 from panelforge.functions.series import as_col
 
 
@@ -72,30 +71,30 @@ def strip_stop_words(
 ) -> DataFrame:
     """Remove stop words from the columns, keeping word order; nothing left means missing.
 
-    All columns are exploded together, so the words take one anti join and one shuffle.
-    A record contributes only its own words, which bounds every group by one row's text.
+    The distinct words of each record look up the stop list, and only the hits are
+    shuffled. Each record then drops its own hits, which are at most its own words.
     """
-    words = df.select(
-        unique_id,
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
-            )
-        ).alias("_e"),
-    ).select(unique_id, "_e.column", F.posexplode(F.split("_e.text", " ")).alias("pos", "word"))
+    texts = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
+    )
+    words = df.select(unique_id, F.explode(texts).alias("_e")).select(
+        unique_id, "_e.column", F.explode(F.array_distinct(F.split("_e.text", " "))).alias("word")
+    )
     bare = F.regexp_replace(F.col("word"), "(?i)[^a-z0-9]", "")
-    kept = words.withColumn("_bare", bare).join(
-        stop_list.select(F.col("word").alias("_bare")).distinct(), "_bare", "left_anti"
+    hits = words.withColumn("_bare", bare).join(
+        stop_list.select(F.col("word").alias("_bare")), "_bare", "left_semi"
     )
-    texts = kept.groupBy(unique_id).agg(
+    dropped = hits.groupBy(unique_id).agg(
         *[
-            F.nullif(
-                ordered_text(F.when(F.col("column") == c, F.col("word")), " ", "pos"), F.lit("")
-            ).alias(f"_stripped_{c}")
+            F.collect_set(F.when(F.col("column") == c, F.col("word"))).alias(f"_drop_{c}")
             for c in columns
         ]
     )
-    joined = df.join(texts, unique_id, "left")
-    return joined.select(
-        *[F.col(f"_stripped_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
-    )
+
+    def stripped(c: str) -> Column:
+        drop = F.coalesce(F.col(f"_drop_{c}"), F.array().cast("array<string>"))
+        kept = F.filter(F.split(c, " "), lambda word: ~F.array_contains(drop, word))
+        return F.nullif(F.array_join(kept, " "), F.lit("")).alias(c)
+
+    joined = df.join(dropped, unique_id, "left")
+    return joined.select(*[stripped(c) if c in columns else F.col(c) for c in df.columns])

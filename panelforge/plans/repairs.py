@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.datasets import pipelines
-from panelforge.operators import anomaly, fuels, panel, repair
+from panelforge.operators import fuels, panel, repair
 from panelforge.plans.derived import balanced_sql, corrupt, table, year_of
 from panelforge.plans.panels import UNIT_ERROR, jumps_sql, outliers_sql, repaired_units_sql
 from panelforge.plans.registry import query
+from panelforge.sources.staging import stage
 
 # --- releases -------------------------------------------------------------------------
 
@@ -160,7 +161,8 @@ def _rounded(df: DataFrame, value: str) -> DataFrame:
 
 @query("proxy_repair_release", _rounded_releases_sql(repaired_releases_sql(_RELEASES_SQL)))
 def proxy_repair_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repaired = repair.repair_releases(_releases(spark, sf_dir))
+    releases = stage(_releases(spark, sf_dir), "releases")
+    repaired = repair.repair_releases(releases)
     return _rounded(repaired, "totalPollutantQuantityKg")
 
 
@@ -705,7 +707,7 @@ _ENERGY_PANEL_SQL = balanced_sql(
 
 
 def _energy_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    standard = fuels.standardise_fuels(_wrong_energy(spark, sf_dir))
+    standard = stage(fuels.standardise_fuels(_wrong_energy(spark, sf_dir)), "standard_fuels")
     return panel.balance(standard, "reportingYear", _SERIES)
 
 
@@ -718,7 +720,7 @@ def _energy_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def proxy_repair_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     emissions = pipelines.emissions_to_air(_emissions(spark, sf_dir), True, True)
-    repaired = repair.repair_energy(_energy_panel(spark, sf_dir), emissions)
+    repaired = pipelines.energy_inputs(_wrong_energy(spark, sf_dir), emissions)
     return _rounded(repaired.select(*_SERIES, "reportingYear", "energyInputTJ"), "energyInputTJ")
 
 
@@ -788,6 +790,7 @@ def energy_inferred_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "energyInputTJ",
         "totalPollutantQuantityTNE",
     )
+    ratios = stage(ratios, "energy_ratios")
     inferred = repair.energy_inferred(ratios, "Installation_Part_INSPIRE_ID", "reportingYear")
     return inferred.withColumn("total_inferred", F.round("total_inferred", 4))
 
@@ -812,7 +815,7 @@ _AUDIT_KEY = ["Facility_INSPIRE_ID", "pollutantCode", "medium", "reportingYear"]
     """,
 )
 def repair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _releases(spark, sf_dir)
+    raw = stage(_releases(spark, sf_dir), "releases")
     audit = repair.audit_repair(
         raw, repair.repair_releases(raw), _AUDIT_KEY, "totalPollutantQuantityKg"
     )
@@ -832,7 +835,7 @@ def repair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _releases(spark, sf_dir)
+    raw = stage(_releases(spark, sf_dir), "releases")
     totals = repair.compare_totals(
         raw,
         repair.repair_releases(raw),
@@ -842,6 +845,3 @@ def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn(
         "totalPollutantQuantityKg", F.round("totalPollutantQuantityKg", 3)
     )
-
-
-__all__ = ["anomaly"]
