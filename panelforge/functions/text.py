@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.series import as_col
 
+# The helpers travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _accent_map() -> tuple[str, str]:
     """Letters whose canonical decomposition is one base letter plus combining marks."""
@@ -66,6 +73,19 @@ def stop_words(codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _without_words(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    """Texts without the given words (set lookups, linear in the text)."""
+    result = []
+    for text, drop in zip(texts, drops, strict=True):
+        if text is None or drop is None:
+            result.append(text)
+            continue
+        unwanted = set(drop)
+        result.append(" ".join(w for w in text.split(" ") if w not in unwanted))
+    return pd.Series(result, dtype="object")
+
+
 def strip_stop_words(
     df: DataFrame, stop_list: DataFrame, columns: Sequence[str], unique_id: str
 ) -> DataFrame:
@@ -92,9 +112,9 @@ def strip_stop_words(
     )
 
     def stripped(c: str) -> Column:
-        drop = F.coalesce(F.col(f"_drop_{c}"), F.array().cast("array<string>"))
-        kept = F.filter(F.split(c, " "), lambda word: ~F.array_contains(drop, word))
-        return F.nullif(F.array_join(kept, " "), F.lit("")).alias(c)
+        drop = F.col(f"_drop_{c}")
+        kept = F.when(F.size(drop) > 0, _without_words(F.col(c), drop)).otherwise(F.col(c))
+        return F.nullif(kept, F.lit("")).alias(c)
 
     joined = df.join(dropped, unique_id, "left")
     return joined.select(*[stripped(c) if c in columns else F.col(c) for c in df.columns])

@@ -51,15 +51,12 @@ def tiled_join(
     """
     keys = list(keys)
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias(name))
-
-    # Only blocks beyond one tile are listed, so the list is at most rows / tile_rows long.
-    hot = (
-        sizes(left, "_tiles_l")
-        .join(sizes(right, "_tiles_r"), keys, "inner")
-        .where((F.col("_tiles_l") > 1) | (F.col("_tiles_r") > 1))
-    )
+    def hot_blocks(df: DataFrame, name: str) -> DataFrame:
+        tiles = F.ceil(F.count(F.lit(1)) / tile_rows).alias(name)
+        return df.groupBy(*keys).agg(tiles).where(F.col(name) > 1)
+
+    # Blocks beyond one tile on either side: at most rows / tile_rows entries.
+    hot = hot_blocks(left, "_tiles_l").join(hot_blocks(right, "_tiles_r"), keys, "outer")
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
         tile = F.pmod(F.xxhash64(unique_id), F.coalesce(f"_tiles{own}", F.lit(1)))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from panelforge.constants import DATE_FORMAT, NA_VALUES
 from panelforge.datasets import tables
 from panelforge.functions import text as names
+from panelforge.linkage.blocking import block_on, candidate_pairs
 from panelforge.operators import crosswalk, hierarchy, versions
 from panelforge.operators.joins import rows_not_listed, union_distinct_by_name
 from panelforge.operators.panel import fill_from_latest
@@ -496,22 +497,16 @@ def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def edges_to_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def side(suffix: str) -> DataFrame:
-        return table(spark, sf_dir, "orders").select(
-            "o_custkey",
-            "o_orderpriority",
-            F.col("o_orderkey").alias(f"id_{suffix}"),
-            F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias(f"known_{suffix}"),
-            F.col("o_totalprice").alias(f"price_{suffix}"),
-        )
-
-    pairs = (
-        side("l")
-        .join(side("r"), ["o_custkey", "o_orderpriority"])
-        .where(F.col("id_l") < F.col("id_r"))
-        .withColumn("weight", F.abs(F.col("price_l") - F.col("price_r")))
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        "o_orderpriority",
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("known"),
+        F.col("o_totalprice").alias("price"),
     )
-    return crosswalk.edges_to_unlinked(pairs, "id", "known", "weight")
+    pairs = candidate_pairs(orders, None, "id", [block_on("o_custkey", "o_orderpriority")])
+    weighted = pairs.withColumn("weight", F.abs(F.col("price_l") - F.col("price_r")))
+    return crosswalk.edges_to_unlinked(weighted, "id", "known", "weight")
 
 
 @query(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelforge.functions import ordered
 from panelforge.functions.series import median
 from panelforge.operators import joins
-from panelforge.plans.derived import table, year_of
+from panelforge.operators.quantile import positive_quantiles
+from panelforge.plans.derived import ANNUAL_SQL, annual_panel, table, year_of
 from panelforge.plans.registry import query
 
 
@@ -226,12 +227,28 @@ def having_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "median_grouped",
     """
-    SELECT o_custkey, round(median(o_totalprice), 6) AS mid FROM orders GROUP BY o_custkey
+    SELECT o_custkey, round(median(o_totalprice), 6) AS mid
+    FROM orders WHERE o_totalprice > 0 GROUP BY o_custkey
     """,
 )
 def median_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = table(spark, sf_dir, "orders").groupBy("o_custkey")
-    return prices.agg(F.round(median(F.col("o_totalprice")), 6).alias("mid"))
+    """Medians of raw rows: a customer may have any number, so ranks are found by digits."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    medians = positive_quantiles(orders, "o_totalprice", ["o_custkey"], {"mid": 0.5})
+    return medians.withColumn("mid", F.round("mid", 6))
+
+
+@query(
+    "median_of_panel",
+    f"SELECT unit, code, round(median(v), 6) AS mid FROM ({ANNUAL_SQL}) GROUP BY 1, 2",
+)
+def median_of_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of annual series: a group holds one value per year."""
+    return (
+        annual_panel(spark, sf_dir)
+        .groupBy("unit", "code")
+        .agg(F.round(median(F.col("v")), 6).alias("mid"))
+    )
 
 
 @query(
@@ -335,51 +352,50 @@ def arg_max_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ordered_lists",
-    """
-    SELECT l_orderkey,
-           array_to_string(list(CAST(l_quantity AS BIGINT)
-                                ORDER BY l_linenumber, l_partkey, l_quantity), ',') AS amounts,
-           string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS flags
-    FROM lineitem GROUP BY l_orderkey
+    f"""
+    SELECT unit, array_to_string(list(CAST(v AS BIGINT) ORDER BY yr, code), ',') AS amounts,
+           string_agg(code, ' ' ORDER BY yr, code) AS codes
+    FROM ({ANNUAL_SQL}) GROUP BY unit
     """,
 )
 def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amounts = ordered.ordered_list(
-        F.col("l_quantity").cast("long").cast("string"), "l_linenumber", "l_partkey", "l_quantity"
-    )
+    """Lists per unit of an annual panel: at most years x codes entries."""
+    amounts = ordered.ordered_list(F.col("v").cast("long").cast("string"), "yr", "code")
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
+        annual_panel(spark, sf_dir)
+        .groupBy("unit")
         .agg(
             F.array_join(amounts, ",").alias("amounts"),
-            ordered.ordered_text("l_returnflag", " ", "l_linenumber", "l_partkey").alias("flags"),
+            ordered.ordered_text("code", " ", "yr", "code").alias("codes"),
         )
     )
 
 
 @query(
     "window_neighbours",
-    """
-    SELECT o_orderkey, lag(o_totalprice) OVER w AS price_before,
-           lead(o_totalprice) OVER w AS price_after,
-           min(o_totalprice) OVER (PARTITION BY o_custkey) AS lowest,
-           max(o_totalprice) OVER (PARTITION BY o_custkey) AS highest,
-           count(o_totalprice) OVER (PARTITION BY o_custkey) AS n,
-           bool_or(o_orderstatus = 'P') OVER (PARTITION BY o_custkey) AS any_pending
-    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+    f"""
+    SELECT unit, code, yr, lag(v) OVER w AS v_before, lead(v) OVER w AS v_after,
+           min(v) OVER (PARTITION BY unit, code) AS lowest,
+           max(v) OVER (PARTITION BY unit, code) AS highest,
+           count(v) OVER (PARTITION BY unit, code) AS n,
+           bool_or(v > 700) OVER (PARTITION BY unit, code) AS any_large
+    FROM ({ANNUAL_SQL}) WINDOW w AS (PARTITION BY unit, code ORDER BY yr)
     """,
 )
 def window_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = Window.partitionBy("o_custkey")
-    ordered_unit = unit.orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.lag("o_totalprice").over(ordered_unit).alias("price_before"),
-        F.lead("o_totalprice").over(ordered_unit).alias("price_after"),
-        F.min("o_totalprice").over(unit).alias("lowest"),
-        F.max("o_totalprice").over(unit).alias("highest"),
-        F.count("o_totalprice").over(unit).alias("n"),
-        F.bool_or(F.col("o_orderstatus") == "P").over(unit).alias("any_pending"),
+    """Neighbouring rows and whole-series aggregates over annual series."""
+    unit = Window.partitionBy("unit", "code")
+    years = unit.orderBy("yr")
+    return annual_panel(spark, sf_dir).select(
+        "unit",
+        "code",
+        "yr",
+        F.lag("v").over(years).alias("v_before"),
+        F.lead("v").over(years).alias("v_after"),
+        F.min("v").over(unit).alias("lowest"),
+        F.max("v").over(unit).alias("highest"),
+        F.count("v").over(unit).alias("n"),
+        F.bool_or(F.col("v") > 700).over(unit).alias("any_large"),
     )
 
 
