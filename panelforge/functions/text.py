@@ -36,7 +36,7 @@ _ACCENTED, _PLAIN = _accent_map()
 def strip_accents(text: str | Column) -> Column:
     """Accented letters to their base letter; combining marks on their own are removed."""
     replaced = F.translate(as_col(text), _ACCENTED, _PLAIN)
-    return F.regexp_replace(replaced, r"[̀-ͯ]", "")
+    return F.regexp_replace(replaced, r"[\u0300-\u036f]", "")
 
 
 def _squash(text: Column) -> Column:
