@@ -19,8 +19,14 @@ _FINGERPRINT = "panelforge.schema"
 def parse_short_date(
     text: Column, as_of: str | None = None, date_format: str = DATE_FORMAT
 ) -> Column:
-    """Two-digit-year timestamp; a date after ``as_of`` belongs to the century before."""
-    parsed = F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
+    """Two-digit-year timestamp; a date after ``as_of`` belongs to the century before.
+
+    The text is a local time without zone: it is read as UTC and rebuilt from the epoch, so
+    the session's time zone and its clock changes do not matter.
+    """
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" UTC")), F.lit(f"{date_format} VV"))
+    seconds = F.make_dt_interval(secs=F.unix_seconds(instant).cast("decimal(18,6)"))
+    parsed = F.lit("1970-01-01").cast("timestamp_ntz") + seconds
     limit = F.current_date() if as_of is None else F.lit(as_of).cast("date")
     century = F.make_ym_interval(F.lit(100), F.lit(0))
     return F.when(parsed > limit.cast("timestamp_ntz"), parsed - century).otherwise(parsed)

@@ -83,6 +83,17 @@ def test_today_settles_the_century_by_default(spark):
     assert got == [dt.datetime(2000, 1, 1), dt.datetime(1999, 1, 1)]
 
 
+def test_local_times_ignore_the_session_zone(spark):
+    frame = spark.createDataFrame([("03/10/24 02:30:00",), ("11/03/24 01:30:00",)], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in frame.select(csv_source.parse_short_date(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30)]
+
+
 def test_catalogue_is_complete():
     assert (len(REPORTING_TABLES), len(REGISTER_TABLES), len(PLANT_TABLES)) == (20, 6, 6)
     assert len(DATASET_VERSIONS) == 13
