@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelforge.llm import quality_rules
+from panelforge.llm import language_id, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +85,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@_query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@_query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = language_id.held_out(F.col("doc_id"))
+    known = docs.where(F.col("doc_id").isNotNull() & ~fold)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(known))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "accepted")
