@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import language_id, quality_rules, url_filter
+from panelforge.llm import language_id, quality_rules, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull() & ~fold)
     found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(known))
     return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@_query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"
+    )
