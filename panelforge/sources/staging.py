@@ -11,11 +11,18 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, a local session (one machine, as in tests) gets a temporary folder; on a
+    cluster that folder would exist once per machine, so there the setting is required.
+    """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="panelforge-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

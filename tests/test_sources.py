@@ -119,3 +119,21 @@ def test_stage_goes_to_the_shared_folder(spark):
     staged = stage(spark.range(10), "numbers")
     assert staged.count() == 10
     assert all(shared_folder(spark) in f for f in staged.inputFiles())
+
+
+def test_stage_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://head:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
