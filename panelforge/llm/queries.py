@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import (
     decontaminate,
+    html_wrapper,
     language_id,
     packing,
     quality_rules,
@@ -151,3 +152,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from the bundles that were written."""
     found = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op7_html_wrapper")
+def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_wrapper.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
