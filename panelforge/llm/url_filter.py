@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.columns import ascii_lower
+from panelforge.llm.columns import ascii_lower, let
 
 BUCKETS = 2048
 SIZES = (3, 4)
@@ -112,9 +112,12 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.004) -
         .select(
             "label",
             array_to_vector(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(buckets - 1)),
-                    lambda b: F.array_contains("found", b).cast("double"),
+                let(
+                    F.col("found"),
+                    lambda found: F.transform(
+                        F.sequence(F.lit(0), F.lit(buckets - 1)),
+                        lambda b: F.array_contains(found, b).cast("double"),
+                    ),
                 )
             ).alias("features"),
         )
