@@ -14,6 +14,7 @@ from panelforge.llm import (
     packing,
     quality_rules,
     simhash,
+    suffix_dedup,
     url_filter,
     warc,
 )
@@ -159,3 +160,12 @@ def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_wrapper.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", "n_chars")
+
+
+@_query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated strings of 50 bytes are removed."""
+    found = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
