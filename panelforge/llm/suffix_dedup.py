@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -472,6 +472,16 @@ def _remove(names: list[str]):
     return remove
 
 
+def as_text(kept: Column) -> Column:
+    """The bytes left as text; characters of which only a part is left are dropped."""
+
+    @F.pandas_udf("string")
+    def decoded(data: pd.Series) -> pd.Series:
+        return pd.Series([bytes(d).decode("utf-8", "ignore") for d in data], dtype=object)
+
+    return decoded(kept)
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without text, with kept (bytes left), n_bytes, n_removed and n_spans."""
     fields = [f for f in docs.schema.fields if f.name not in (*_RESULT, text)]
