@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.llm import (
     decontaminate,
     html_wrapper,
+    kneser_ney,
     language_id,
     packing,
     quality_rules,
@@ -22,6 +23,9 @@ from panelforge.llm import (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Stored rows whose n-gram probabilities are looked up together.
+BLOCK_ROWS = 20_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -169,3 +173,16 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@_query("op9_kneser_ney")
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of those labelled good, and the verdict."""
+    row = F.col("_metadata.row_index")
+    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(row / BLOCK_ROWS))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.pmod(block, F.lit(1 << 40)).alias("block")
+    )
+    trusted = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    found = kneser_ney.judge(docs, trusted, block="block")
+    return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
