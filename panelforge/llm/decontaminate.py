@@ -104,9 +104,11 @@ def _suffix_array(rank: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Backward search and locating over symbols 1, 2, ...; 0 separates."""
+    """Backward search and locating over symbols 1, 2, ...; 0 separates and ends the text."""
 
     def __init__(self, symbols: np.ndarray, sample: int = SAMPLE) -> None:
+        if not len(symbols) or symbols[-1] != 0:
+            symbols = np.append(symbols, 0)
         apart = symbols == 0
         gaps = int(apart.sum())
         # each separator is a symbol of its own, below all words: comparisons end there

@@ -13,8 +13,8 @@ n-grams are exact 64-bit keys. Nothing of it is ever held whole:
 
 Blocks are ranges of the stored rows, so the texts are not shuffled for scoring. A fifth of the
 trusted documents (by id hash) is not counted; their perplexities, being those of unseen good
-text, give the quantile that documents of the same language are compared with (of all
-languages, where a language has fewer than `LEAST_OF_LANG` of them).
+text, give the quantile that documents of the same language are compared with. A language with
+fewer than `LEAST_OF_LANG` of them takes the quantile of all languages if that is higher.
 
 Null and blank texts have no perplexity and are not kept. Without trusted text there is no
 model: every text has perplexity 256 (all bytes alike), no threshold, and is kept; without a
@@ -311,14 +311,14 @@ def judge(
         reference.where(F.col(lang).isNotNull())
         .groupBy(lang)
         .agg(at.alias("__own"), F.count("*").alias("__n"))
-        .where(F.col("__n") >= LEAST_OF_LANG)
-        .drop("__n")
     )
     overall = reference.agg(at).first()[0]
+    of_all = F.lit(overall).cast("double")
+    enough = F.col("__n") >= LEAST_OF_LANG
     return (
         scored.join(by_lang, lang, "left")
-        .withColumn("threshold", F.coalesce("__own", F.lit(overall).cast("double")))
-        .drop("__own")
+        .withColumn("threshold", F.when(enough, F.col("__own")).otherwise(F.greatest("__own", of_all)))
+        .drop("__own", "__n")
         .withColumn(
             "kept",
             F.col("perplexity").isNotNull()
