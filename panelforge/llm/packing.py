@@ -16,6 +16,7 @@ result has the columns named in `RESULT` only.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ LENGTH = 4096
 UNIT = 32
 END_ID = 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 RESULT = (
     "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
 )
@@ -43,9 +44,15 @@ RESULT = (
 class Encoder:
     """Ids of texts, word by word: blanks and line feeds always end a token here.
 
-    That holds for tokenizers that drop white space; others need by_word=False.
+    That holds for tokenizers that drop white space and split symbols from letters; others need
+    by_word=False. The ids of a word are remembered, so most words of a text are looked up.
+    Words are told apart by less than their spelling: A-Z are lower-cased if the tokenizer does
+    so itself, and symbols behind a letter or digit are words of their own.
     """
 
+    #: Symbols behind a small Latin letter or digit, without the apostrophe of contractions.
+    _symbols = re.compile(r"(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+
     def __init__(self, path: str, by_word: bool = True) -> None:
         import os
 
@@ -55,24 +62,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
         self.known: dict[str, bytes] = {"": b""}
+        self.lower = self._raw(["AZ"])[0] == self._raw(["az"])[0]
+        # a sign that is one token and stands between words that are encoded together
+        marks = ((m, np.frombuffer(self._raw([m])[0], "<u4")) for m in "~^`{")
+        self.mark, self.mark_id = next(((m, i[0]) for m, i in marks if len(i) == 1), (None, 0))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words are encoded a thousand at a time."""
+        found: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            if self.mark is not None and not any(self.mark in w for w in part):
+                data = self._raw([f" {self.mark} ".join(part)])[0]
+                ends = np.flatnonzero(np.frombuffer(data, dtype="<u4") == self.mark_id)
+                if len(ends) == len(part) - 1:
+                    ends = [4 * e for e in ends.tolist()]
+                    begins = [0, *(e + 4 for e in ends)]
+                    found.extend(map(data.__getitem__, map(slice, begins, [*ends, len(data)])))
+                    continue
+            found.extend(self._raw(part))
+        return found
+
+    def _parts(self, text: str) -> list[str]:
+        if "<|" not in text:  # else it may hold special tokens, which are not to be changed
+            if self.lower:
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            text = self._symbols.sub(r" \1", text)
+        return text.replace("\n", " ").split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return self._ids([text])[0]
-        parts = text.replace("\n", " ").split(" ")
-        new = set(parts).difference(self.known)
+            return self._raw(texts)
+        parts = [self._parts(t) for t in texts]
+        new = set().union(*parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {"": b""}
-                new = set(parts) - {""}
+                new = set().union(*parts) - {""}
             words = list(new)
-            self.known.update(zip(words, self._ids(words), strict=True))
-        return b"".join(map(self.known.__getitem__, parts))
+            self.known.update(zip(words, self._words(words), strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -94,9 +128,9 @@ def _tokenise(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, by_word)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                data = [encoder.encode(t) + end for t in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                data = [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
                 whole = [len(d) // (4 * length) for d in data]
                 rest = [d[4 * length * w :] for d, w in zip(data, whole, strict=True)]
                 crcs = [
@@ -295,7 +329,14 @@ def pack(
         ),
         "cuts",
     )
-    cut = cuts.join(tokens.select("row", "doc_id", "doc_tokens", "rest", "ids"), "row").select(
+    # ids of the few rows that are cut; their number alone decides how they are looked up
+    loose_ids = stage(
+        tokens.select("row", "doc_id", "doc_tokens", "rest", "ids").join(
+            loose_rows.select("row"), "row", "left_semi"
+        ),
+        "loose-ids",
+    )
+    cut = cuts.join(loose_ids, "row").select(
         "doc_id",
         (F.col("doc_tokens") - F.col("rest") + F.col("begin")).alias("start"),
         "length",

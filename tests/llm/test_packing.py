@@ -64,8 +64,11 @@ def test_edge_cases(spark):
 def test_words_give_the_ids_of_the_whole_text():
     encoder = packing.Encoder(PATH)
     whole = packing.Encoder(PATH, by_word=False)
-    for text in (edge.ENGLISH, edge.GERMAN, " a\u00a0b\u2003c\td\x1ce ", "don't <|endoftext|>x", "é e\u0301"):
-        assert encoder.encode(text) == whole.encode(text)
+    texts = (edge.ENGLISH, edge.GERMAN, " a\u00a0b\u2003c\td\x1ce ", "don't <|endoftext|>x", "é e\u0301")
+    rng = random.Random(3)
+    letters = "aB1é'.,;_-#\n\t  ¦§'<|>sdmtİΣßﬁ½²\u0301eİ中x~" + " " * 6
+    texts = [*texts, *("".join(rng.choices(letters, k=40)) for _ in range(3000))]
+    assert encoder.encode(texts) == whole.encode(texts)
 
 
 def test_patterns_are_near_the_bound():
