@@ -14,7 +14,7 @@ n-grams are exact 64-bit keys. Nothing of it is ever held whole:
 Blocks are ranges of the stored rows, so the texts are not shuffled for scoring. A fifth of the
 trusted documents (by id hash) is not counted; their perplexities, being those of unseen good
 text, give the quantile that documents of the same language are compared with. A language with
-fewer than `LEAST_OF_LANG` of them takes the quantile of all languages if that is higher.
+fewer than `LEAST_OF_LANG` of them takes the quantile of all languages if that is higher; the threshold is `SLACK` times it.
 
 Null and blank texts have no perplexity and are not kept. Without trusted text there is no
 model: every text has perplexity 256 (all bytes alike), no threshold, and is kept; without a
@@ -38,6 +38,8 @@ from panelforge.sources.staging import stage, stage_path
 
 ORDER = 5
 QUANTILE = 0.995
+#: Perplexities up to this factor above the quantile are still kept.
+SLACK = 1.1
 #: Held-out trusted documents that a language needs for a quantile of its own.
 LEAST_OF_LANG = 30
 FOLDS = 5
@@ -289,6 +291,7 @@ def judge(
     block: str | None = None,
     order: int = ORDER,
     quantile: float = QUANTILE,
+    slack: float = SLACK,
 ) -> DataFrame:
     """docs without text, with perplexity, threshold and kept.
 
@@ -317,7 +320,7 @@ def judge(
     enough = F.col("__n") >= LEAST_OF_LANG
     return (
         scored.join(by_lang, lang, "left")
-        .withColumn("threshold", F.when(enough, F.col("__own")).otherwise(F.greatest("__own", of_all)))
+        .withColumn("threshold", F.when(enough, F.col("__own")).otherwise(F.greatest("__own", of_all)) * slack)
         .drop("__own", "__n")
         .withColumn(
             "kept",
