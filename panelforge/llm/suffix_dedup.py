@@ -5,8 +5,9 @@ a smaller id. Every such string (a window) is dealt to a shard by the least hash
 inside it, so equal windows meet, however their surroundings differ; neighbouring windows
 mostly share that gram and travel as one context.
 
-1. Contexts are announced to their shard by the gram's hash alone. A shard answers which
-   hashes occur in several documents; only those contexts can hold a repeated window.
+1. Contexts are announced to their shard by the gram's hash and their number in the text. A
+   shard answers which hashes occur in several documents; only those contexts can hold a
+   repeated window.
 2. The contexts asked for are cut out of the texts and sent to their shard. Equal contexts are
    merged, then the shard's suffix array is induced and its permuted common prefixes are
    computed. Neighbours that share a whole window form a class; its least document id decides
@@ -40,11 +41,11 @@ from pyspark.sql import types as T
 from panelforge.llm.induced_sorting import permuted_prefixes, suffix_array
 
 LENGTH = 50
-#: Bytes of a gram; a window holds LENGTH - GRAM + 1 of them.
-GRAM = 24
+#: Bytes of a gram, a multiple of 8; a window holds LENGTH - GRAM + 1 of them.
+GRAM = 16
 #: Input bytes behind one shard and one bucket, and bytes that a shard sorts at once.
 SHARD_BYTES = 8 << 20
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 LEAST_SHARDS = 64
 _PIECE = 1 << 20
 _LAST = np.iinfo(np.int64).max
@@ -64,7 +65,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u64(29))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob."""
     import zstandard
 
@@ -72,7 +73,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for array in arrays:
         parts.append(struct.pack("<2sQ", array.dtype.str[1:].encode(), array.size))
         parts.append(array.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -191,27 +192,32 @@ def _tags(texts: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(t) for t in texts], dtype=np.uint32)
 
 
+def _ordinals(number: np.ndarray) -> np.ndarray:
+    """Place of each context among those of its text; number is ascending."""
+    first = np.searchsorted(number, number, side="left")
+    return np.arange(len(number)) - first
+
+
 def _announce(shards: int):
-    """Batches of (doc, text) to (shard, blob of doc, tag, start, windows, hash)."""
+    """Batches of (doc, text) to (shard, blob of doc, tag, runs, ordinal, hash)."""
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, docs = _texts(batch.column(1)), _ids(batch.column(0))
             tags = _tags(texts)
-            number, start, windows, hashed = _deal(texts)
+            number, _, _, hashed = _deal(texts)
+            ordinal = _ordinals(number)
             shard = (hashed >> _u64(32)).astype(np.int64) % shards
             keys, blobs = [], []
             for key, at in _grouped(shard):
                 own, counts = np.unique(number[at], return_counts=True)
-                # pieces keep the order of texts, so equal numbers stand together
                 keys.append(key)
                 blobs.append(
                     pack(
                         docs[own],
                         tags[own],
                         counts.astype(np.uint32),
-                        start[at].astype(np.uint32 if len(at) and start[at].max() < 1 << 32 else np.int64),
-                        windows[at].astype(np.uint32),
+                        np.diff(ordinal[at], prepend=0).astype(np.int32),
                         hashed[at].astype(np.uint32),
                     )
                 )
@@ -222,25 +228,17 @@ def _announce(shards: int):
     return announce
 
 
-def _unroll(blobs) -> list[np.ndarray]:
-    """doc, tag, start, windows, hash of all announced contexts."""
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
-    for blob in blobs:
-        doc, tag, counts, start, windows, hashed = unpack(blob)
-        for column, part in zip(
-            columns,
-            (np.repeat(doc, counts), np.repeat(tag, counts), start.astype(np.int64), windows, hashed),
-            strict=True,
-        ):
-            column.append(part)
-    return [np.concatenate(c) for c in columns]
-
-
 def _shared(buckets: int):
     """Announced contexts of a shard whose hash has several documents, by bucket."""
 
     def shared(key, rows: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, start, windows, hashed = _unroll(rows["blob"])
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for blob in rows["blob"]:
+            doc, tag, counts, step, hashed = unpack(blob)
+            held = (np.repeat(doc, counts), np.repeat(tag, counts), np.cumsum(step), hashed)
+            for column, part in zip(columns, held, strict=True):
+                column.append(part)
+        doc, tag, ordinal, hashed = (np.concatenate(c) for c in columns)
         order = np.argsort(hashed, kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(hashed[order])) + 1])
         least = np.minimum.reduceat(doc[order], edges)
@@ -252,16 +250,36 @@ def _shared(buckets: int):
         out = []
         for bucket, part in _grouped(_bucket(doc[at], tag[at], buckets)):
             part = at[part]
-            part = part[np.lexsort((start[part], tag[part], doc[part]))]
+            part = part[np.lexsort((ordinal[part], tag[part], doc[part]))]
+            step = np.diff(ordinal[part], prepend=0).astype(np.int32)
             shard = np.full(1, key[0], dtype=np.int32)
-            out.append(
-                (bucket, pack(shard, doc[part], tag[part], start[part], windows[part], hashed[part]))
-            )
+            out.append((bucket, pack(shard, doc[part], tag[part], step)))
         return pd.DataFrame(out, columns=["bucket", "blob"])
 
     return shared
 
 
+def _bundled(buckets: int):
+    """Batches of (doc, text) to (bucket, blob of doc, tag, size, texts)."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, docs = _texts(batch.column(1)), _ids(batch.column(0))
+            tags = _tags(texts)
+            keys, blobs = [], []
+            for key, at in _grouped(_bucket(docs, tags, buckets)):
+                own = [texts[k] for k in at]
+                size = np.array([len(t) for t in own], dtype=np.int64)
+                body = np.frombuffer(b"".join(own), dtype=np.uint8)
+                keys.append(key)
+                blobs.append(pack(docs[at], tags[at], size, body, level=3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"]
+            )
+
+    return bundle
+
+
 def _pressed(buckets: int, doc_id: str, text: str, names: list[str]):
     """Batches with bucket, document key and the compressed text in front of kept columns."""
 
@@ -294,29 +312,41 @@ def _unpress(data) -> bytes:
 
 def _cut_out(key, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The contexts asked for, as (shard, blob)."""
-    place = {(d, t): k for k, (d, t) in enumerate(zip(docs["__doc"], docs["__tag"], strict=True))}
     by_shard: dict[int, list] = {}
+    needed: set[tuple[int, int]] = set()
     for blob in asked["blob"]:
-        shard, doc, tag, start, windows, hashed = unpack(blob)
-        by_shard.setdefault(int(shard[0]), []).append((doc, tag, start, windows, hashed))
-    texts: dict[int, bytes] = {}
+        shard, doc, tag, step = unpack(blob)
+        by_shard.setdefault(int(shard[0]), []).append((doc, tag, np.cumsum(step)))
+        needed.update(zip(doc.tolist(), tag.tolist(), strict=True))
+    place: dict[tuple[int, int], int] = {}
+    texts: list[bytes] = []
+    for blob in docs["blob"]:
+        doc, tag, size, body = unpack(blob)
+        body, end = body.tobytes(), np.cumsum(size).tolist()
+        for k, name in enumerate(zip(doc.tolist(), tag.tolist(), strict=True)):
+            if name in needed and name not in place:
+                place[name] = len(texts)
+                texts.append(body[end[k] - int(size[k]) : end[k]])
+    number, start, windows, hashed = _deal(texts)
+    first = np.searchsorted(number, np.arange(len(texts)))
     out = []
     for shard, parts in by_shard.items():
-        doc, tag, start, windows, hashed = (np.concatenate(c) for c in zip(*parts, strict=True))
+        doc, tag, ordinal = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = [place[n] for n in zip(doc.tolist(), tag.tolist(), strict=True)]
+        at = first[own] + ordinal
         known: dict[bytes, int] = {}
-        number = np.empty(len(doc), dtype=np.uint32)
-        for k, (d, t, a, n) in enumerate(
-            zip(doc.tolist(), tag.tolist(), start.tolist(), windows.tolist(), strict=True)
-        ):
-            row = place[d, t]
-            held = texts.get(row)
-            if held is None:
-                held = texts[row] = _unpress(docs["__text"].iat[row])
-            number[k] = known.setdefault(held[a : a + n + LENGTH - 1], len(known))
-        _, first = np.unique(number, return_index=True)
+        name = np.array(
+            [
+                known.setdefault(texts[k][a : a + n + LENGTH - 1], len(known))
+                for k, a, n in zip(own, start[at].tolist(), windows[at].tolist(), strict=True)
+            ],
+            dtype=np.uint32,
+        )
+        _, one = np.unique(name, return_index=True)
         sizes = np.array([len(c) for c in known], dtype=np.uint32)
         body = np.frombuffer(b"".join(known), dtype=np.uint8)
-        out.append((shard, pack(doc, tag, start, number, sizes, hashed[first], body)))
+        low = hashed[at[one]].astype(np.uint32)
+        out.append((shard, pack(doc, tag, start[at], name, sizes, low, body, level=3)))
     return pd.DataFrame(out, columns=["shard", "blob"])
 
 
@@ -498,7 +528,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             T.StructField("__text", T.BinaryType()),
         ]
     )
-    bare = pair.mapInArrow(_pressed(shards, "doc", "text", []), kept)
+    bare = pair.mapInArrow(_bundled(shards), place)
     asked = (
         pair.mapInArrow(_announce(shards), "shard int, blob binary")
         .groupBy("shard")
