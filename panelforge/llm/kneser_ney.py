@@ -3,7 +3,8 @@
 The model is over the bytes of a text (white space as one blank, an end mark in front), so its
 n-grams are exact 64-bit keys. Nothing of it is ever held whole:
 
-1. Trusted texts give n-gram counts, combined per task and summed by key. The tables of the
+1. Trusted texts give n-gram counts, combined per task and summed by key. (Which documents are
+   trusted is joined by id alone and put beside each block, as in 3.) The tables of the
    lower orders hold continuation counts, derived order by order; discounts come from the
    counts of counts (a few numbers).
 2. Each block of documents lists its distinct n-grams. Their probabilities are found for all
@@ -101,17 +102,46 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [_prepared(t) for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over the only column of texts."""
+def _side_table(folder: str, block: int) -> pa.Table | None:
+    """What was written for a block below the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    listed = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    files = [f.path for f in listed if f.path.endswith(".parquet")]
+    if not files:
+        return None
+    return pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read() for f in files])
+
+
+def _by_block(rows: DataFrame, name: str) -> str:
+    """The folder where rows (with a column block) are stored, one folder per block."""
+    folder = stage_path(rows.sparkSession, name)
+    rows.repartition("block").write.partitionBy("block").parquet(folder)
+    return folder
+
+
+@lru_cache(maxsize=2)
+def _ids(folder: str, block: int) -> frozenset:
+    table = _side_table(folder, block)
+    return frozenset() if table is None else frozenset(table["id"].to_pylist())
+
+
+def _gram_counts(docs: DataFrame, trusted: str, order: int) -> DataFrame:
+    """(gram, c) over the texts of docs (block, id, text) whose ids the folder has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = _counted(_texts(batch.column(0)), order)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            good = [doc in _ids(trusted, block) for block, doc in rows]
+            texts = _texts(batch.column(2).filter(pa.array(good, pa.bool_())))
+            keys, counts = _counted(texts, order)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "c"]
             )
 
-    return texts.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _suffix(column: str, order: int):
@@ -136,12 +166,13 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 class Model:
     """Stored tables of each order: (gram, c) and (context, total, gamma), and the discounts."""
 
-    def __init__(self, texts: DataFrame, order: int = ORDER) -> None:
+    def __init__(self, docs: DataFrame, trusted: str, order: int = ORDER) -> None:
+        """docs: (block, id, text) of a stored table; trusted: the folder of ids by block."""
         self.order = order
         self.counts: dict[int, DataFrame] = {}
         self.contexts: dict[int, DataFrame] = {}
         self.discounts: dict[int, tuple[float, float, float]] = {}
-        found = _gram_counts(texts, order)
+        found = _gram_counts(docs, trusted, order)
         for k in range(order, 0, -1):
             found = self.counts[k] = stage(found, f"grams{k}")
             one, two, more = self.discounts[k] = _discounts(found)
@@ -219,20 +250,10 @@ def _block_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
 @lru_cache(maxsize=2)
 def _table(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted grams of a block and their log probabilities."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(f"{folder}/block={block}")
-    files = [
-        f.path
-        for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-        if f.path.endswith(".parquet")
-    ]
-    if not files:
+    table = _side_table(folder, block)
+    if table is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    parts = [pq.read_table(system.open_input_file(f), columns=["gram", "logp"]) for f in files]
-    grams = np.concatenate([p["gram"].to_numpy() for p in parts])
-    logp = np.concatenate([p["logp"].to_numpy() for p in parts])
+    grams, logp = table["gram"].to_numpy(), table["logp"].to_numpy()
     order = np.argsort(grams)
     return grams[order], logp[order]
 
@@ -257,8 +278,7 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     wanted = stage(_block_grams(docs, text, model.order), "block-grams")
     grams = stage(wanted.select("gram").distinct(), "all-grams")
     known = model.probabilities(grams)
-    folder = stage_path(docs.sparkSession, "block-tables")
-    wanted.join(known, "gram").repartition("block").write.partitionBy("block").parquet(folder)
+    folder = _by_block(wanted.join(known, "gram"), "block-tables")
     names = [c for c in docs.columns if c not in ("perplexity", "__block")]
     fields = [f for f in docs.schema.fields if f.name in names]
     order = model.order
@@ -305,8 +325,10 @@ def judge(
         docs = docs.withColumn("__block", F.col(block).cast("long")).drop(block)
     good = trusted.select(F.col(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
     unseen = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(FOLDS)) == 0
-    ids = docs.select(F.col(doc_id), F.col(text))
-    model = Model(ids.join(good.where(~unseen), doc_id, "left_semi").select(text), order)
+    places = docs.select(F.col(doc_id), F.col("__block").alias("block"))
+    counted = places.join(good.where(~unseen), doc_id, "left_semi")
+    folder = _by_block(counted.select("block", F.col(doc_id).alias("id")), "trusted")
+    model = Model(docs.select("__block", doc_id, text), folder, order)
     scored = stage(perplexities(docs, model, text).drop(text, "threshold", "kept"), "perplexity")
     reference = scored.join(good.where(unseen), doc_id, "left_semi").where("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, ACCURACY)

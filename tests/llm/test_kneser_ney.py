@@ -61,10 +61,12 @@ def brute(texts, order=ORDER):
 
 def test_probabilities_match_the_definition(spark):
     docs = edge.docs(spark)
-    train = docs.where("doc_id IN (1, 2, 3)").select("text")
-    want = brute([r.text for r in train.collect()])
-    model = kneser_ney.Model(train, ORDER)
-    blocked = kneser_ney.stage(docs.withColumn("__block", F.spark_partition_id().cast("long")), "b")
+    block = F.spark_partition_id().cast("long")
+    blocked = kneser_ney.stage(docs.withColumn("__block", block), "blocked")
+    good = blocked.where("doc_id IN (1, 2, 3)")
+    want = brute([r.text for r in good.collect()])
+    trusted = kneser_ney._by_block(good.selectExpr("__block AS block", "doc_id AS id"), "trusted")
+    model = kneser_ney.Model(blocked.select("__block", "doc_id", "text"), trusted, ORDER)
     for r in kneser_ney.perplexities(blocked, model).collect():
         expected = want(r.text)
         assert r.perplexity == (None if expected is None else pytest.approx(expected, rel=1e-9))
