@@ -9,9 +9,10 @@ mostly share that gram and travel as one context.
    shard answers which hashes occur in several documents; only those contexts can hold a
    repeated window.
 2. The contexts asked for are cut out of the texts and sent to their shard. Equal contexts are
-   merged, then the shard's suffix array is induced and its permuted common prefixes are
-   computed. Neighbours that share a whole window form a class; its least document id decides
-   for every occurrence.
+   merged; if all contexts of a hash are equal, so are their documents' windows, and the least
+   id of the context decides. For the others the shard's suffix array is induced and its
+   permuted common prefixes are computed. Neighbours that share a whole window form a class;
+   its least document id decides for every occurrence.
 3. The removed ranges go back to their documents, are united and cut out.
 
 Texts travel compressed, three times in all; hashes and ranges are packed arrays. Shards and
@@ -370,10 +371,10 @@ def _least_ids(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.n
     return found, begin
 
 
-def _parts(hashed: list[int], sizes: list[int]) -> Iterator[list[int]]:
+def _parts(numbers: list[int], hashed: list[int], sizes: np.ndarray) -> Iterator[list[int]]:
     """Context numbers in parts of about PART_BYTES; equal hashes stay together."""
     held, total, before = [], 0, None
-    for k in sorted(range(len(hashed)), key=hashed.__getitem__):
+    for k in sorted(numbers, key=hashed.__getitem__):
         if total >= PART_BYTES and hashed[k] != before:
             yield held
             held, total = [], 0
@@ -409,17 +410,25 @@ def _repeated(buckets: int):
         np.minimum.at(least, number, doc)
         order = np.argsort(number, kind="stable")
         bounds = np.searchsorted(number[order], np.arange(len(pieces) + 1))
-        out = [[], [], [], []]
-        for part in _parts(hashes, [len(p) for p in pieces]):
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        # equal windows have equal hashes, so a context alone under its hash needs no sorting
+        _, group, members = np.unique(
+            np.array(hashes, dtype=np.uint32), return_inverse=True, return_counts=True
+        )
+        alone = members[group] == 1
+        gone = np.flatnonzero(alone[number] & (least[number] < doc))
+        first = (doc[gone], tag[gone], start[gone], start[gone] + lengths[number[gone]])
+        for column, part in zip(out, first, strict=True):
+            column.append(part)
+        for part in _parts(np.flatnonzero(~alone).tolist(), hashes, lengths):
             chosen = np.array(part)
             lowest, begin = _least_ids([pieces[k] for k in part], least[chosen])
             sizes = bounds[chosen + 1] - bounds[chosen]
             offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             use = order[np.repeat(bounds[chosen], sizes) + offset]
             base = np.repeat(begin, sizes)
-            windows = np.repeat(
-                np.array([len(pieces[k]) - LENGTH + 1 for k in part], dtype=np.int64), sizes
-            )
+            windows = np.repeat(lengths[chosen] - LENGTH + 1, sizes)
             for at in range(0, len(use), 1 << 16):
                 found = _ranges(
                     lowest, base[at : at + (1 << 16)], windows[at : at + (1 << 16)],
