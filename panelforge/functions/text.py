@@ -6,11 +6,9 @@ import sys
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelforge.functions.series import as_col
 
@@ -73,17 +71,10 @@ def stop_words(codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _without_words(texts: pd.Series, drops: pd.Series) -> pd.Series:
-    """Texts without the given words (set lookups, linear in the text)."""
-    result = []
-    for text, drop in zip(texts, drops, strict=True):
-        if text is None or drop is None:
-            result.append(text)
-            continue
-        unwanted = set(drop)
-        result.append(" ".join(w for w in text.split(" ") if w not in unwanted))
-    return pd.Series(result, dtype="object")
+def _without_words(text: Column, drop: Column) -> Column:
+    """The text without the given words."""
+    kept = F.filter(F.split(text, " "), lambda word: ~F.array_contains(drop, word))
+    return F.array_join(kept, " ")
 
 
 def strip_stop_words(

@@ -68,10 +68,11 @@ def parent_records(
         "ProductionFacility_thematicId": clean("ProductionFacility_thematicId"),
         **_lower_address(),
     }
-    # Text that sorts by falling emissions stands in for a global row number.
-    rank = F.lpad(
-        F.format_string("%.0f", F.lit(1e18) - F.coalesce("kgCO2", F.lit(0.0))), 20, "0"
-    )
+    # Text that sorts by falling emissions stands in for a global row number; decimals keep
+    # small differences apart, and unknown emissions sort behind all known ones.
+    high = F.lit("1" + "0" * 31).cast("decimal(38,6)")
+    below = (high - F.col("kgCO2").cast("decimal(38,6)")).cast("decimal(38,6)")
+    rank = F.coalesce(F.lpad(below.cast("string"), 39, "0"), F.lit("~"))
     parents = (
         facilities.where(
             (F.col("facilityType") == "EPRTR") & (scheme.isNull() | (scheme != UNMAPPED_SCHEME))

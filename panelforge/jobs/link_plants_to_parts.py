@@ -29,7 +29,7 @@ def part_records(
 ) -> DataFrame:
     """Parts with first-year energy and the address and national id of their facility."""
     national = register_facilities.select("FacilityID", "NationalID").distinct()
-    url_id = F.nullif(F.regexp_extract(FACILITY, r"/(EW_EA-\d+)\.FACILITY$", 1), F.lit(""))
+    url_id = F.nullif(F.regexp_extract(FACILITY, r"/EW_EA-\d+\.FACILITY$", 0), F.lit(""))
     sites = (
         facilities.join(register_links.select(FACILITY, "FacilityID"), FACILITY, "left")
         .join(national, "FacilityID", "left")

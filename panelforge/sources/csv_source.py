@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,13 +62,42 @@ def cast_text(
     return value.alias(name)
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """(path, bytes, time) of the source's files, by listing only."""
+    listed = (
+        spark.read.format("binaryFile")
+        .load(path)
+        .select("path", "length", F.col("modificationTime").cast("string"))
+    )
+    return sorted(map(tuple, listed.collect()))
+
+
 def _fingerprint(
-    schema: T.StructType, na_values: Sequence[str] | None, date_format: str
+    schema: T.StructType,
+    na_values: Sequence[str] | None,
+    conventions: str,
+    files: list[tuple[str, int, str]],
 ) -> str:
-    content = json.dumps([schema.json(), list(na_values or []), date_format])
+    content = json.dumps([schema.json(), list(na_values or []), conventions, files])
     return hashlib.sha256(content.encode()).hexdigest()
 
 
+def _read_text(spark: SparkSession, files: list[str], multi_line: bool) -> list[DataFrame]:
+    """The files as text columns, one table per header; columns go by name in every file."""
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        header = tuple(spark.read.options(**options).csv(file).columns)
+        by_header.setdefault(header, []).append(file)
+    tables = []
+    for header, members in by_header.items():
+        text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        # a file whose header is not the one its group has raises an error
+        reader = spark.read.schema(text).options(**options, enforceSchema=False)
+        tables.append(reader.csv(members))
+    return tables
+
+
 def read_typed_csv(
     spark: SparkSession,
     path: str,
@@ -78,24 +108,36 @@ def read_typed_csv(
     errors: str = "coerce",
     reload: bool = False,
     cache: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read the declared columns of a CSV file (or folder of CSV files).
 
-    The first read writes a Parquet copy; later reads scan that copy, with pruning and
-    pushdown. A copy made under other column types or conventions is refused and rebuilt.
+    Files of a folder may order their columns differently; a declared column that a file
+    lacks is an error. The first read writes a Parquet copy; later reads scan that copy, with
+    pruning and pushdown. A copy is rebuilt if it is incomplete, was made under other column
+    types or conventions, or if a file of the source was added, removed or changed since.
+
+    With multi_line a field may hold line breaks and a file is read by one task; without, large
+    files are split.
     """
     if not path.endswith(".csv"):
         raise ValueError(f"Only CSV sources are supported: {path}")
     cache = cache or path.removesuffix(".csv") + ".parquet"
-    mark = _fingerprint(schema, na_values, f"{date_format}|{as_of}|{errors}")
+    files = _files(spark, path)
+    conventions = f"{date_format}|{as_of}|{errors}|{multi_line}"
+    mark = _fingerprint(schema, na_values, conventions, files)
     if not reload:
         cached = _read_cache(spark, cache, mark)
         if cached is not None:
             return cached
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    typed = raw.select(
-        *[cast_text(f.name, f.dataType, na_values, as_of, date_format, errors) for f in schema]
-    )
+    names = [name for name, size, _ in files if size]
+    parts = [
+        raw.select(
+            *[cast_text(f.name, f.dataType, na_values, as_of, date_format, errors) for f in schema]
+        )
+        for raw in _read_text(spark, names, multi_line)
+    ]
+    typed = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     first = schema[0].name
     marked = typed.withMetadata(first, {_FINGERPRINT: mark})
     marked.write.mode("overwrite").parquet(cache)
@@ -104,6 +146,7 @@ def read_typed_csv(
 
 def _read_cache(spark: SparkSession, cache: str, mark: str) -> DataFrame | None:
     try:
+        spark.read.text(f"{cache}/_SUCCESS")  # absent if the write broke off
         cached = spark.read.parquet(cache)
     except AnalysisException:
         return None
