@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.sources.staging import stage
+
 # Rows of one side a single block may bring to a task before it is split.
 TILE_ROWS = 2000
 
@@ -55,8 +57,12 @@ def tiled_join(
         tiles = F.ceil(F.count(F.lit(1)) / tile_rows).alias(name)
         return df.groupBy(*keys).agg(tiles).where(F.col(name) > 1)
 
-    # Blocks beyond one tile on either side: at most rows / tile_rows entries.
-    hot = hot_blocks(left, "_tiles_l").join(hot_blocks(right, "_tiles_r"), keys, "outer")
+    # Blocks beyond one tile on either side: at most rows / tile_rows entries. They are stored,
+    # so that their measured size lets them be broadcast and records move by tile only.
+    hot = stage(
+        hot_blocks(left, "_tiles_l").join(hot_blocks(right, "_tiles_r"), keys, "outer"),
+        "hot-blocks",
+    )
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
         tile = F.pmod(F.xxhash64(unique_id), F.coalesce(f"_tiles{own}", F.lit(1)))

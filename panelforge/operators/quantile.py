@@ -1,9 +1,9 @@
 """Exact grouped quantiles of positive numbers without gathering a group in one task.
 
-A positive double's place among all doubles is split into three digits. Counting the
-first digit of every row (map-side combined) tells which digit holds the wanted rank; the
-next pass counts only rows with that digit. After three passes the value is known exactly.
-Rows are never shuffled, only digit counts: at most 2**21 per group and pass.
+Rows are counted per group and value first (map-side combined), so only counts are shuffled.
+The values of a group are cut into slices of nearly equal ratio. A running sum over the slices
+tells which slice holds a wanted rank, and a running sum inside each slice which value: no
+window is longer than a group's slices or a slice's different values.
 """
 
 from __future__ import annotations
@@ -15,84 +15,58 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.joins import null_safe_join
 
-_MANTISSA = 2.0**52
-_DIGIT = 2**21
-_EXPONENT_SHIFT = 1075
-
-
-def _with_digits(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Digits of an order-preserving integer of a positive double.
-
-    Exact: the exponent is corrected after rounding and only powers of two divide.
-    """
-    two, v, e = F.lit(2.0), F.col("_v"), F.col("_e")
-    corrected = (
-        F.when(F.pow(two, e) > v, e - 1).when(F.pow(two, e + 1) <= v, e + 1).otherwise(e)
-    )
-    fraction = ((v / F.pow(two, e) - 1.0) * _MANTISSA).cast("long")
-    place = F.col("_place")
-    return (
-        df.where((F.col(value) > 0.0) & (F.col(value) < float("inf")))
-        .select(*groups, F.col(value).cast("double").alias("_v"))
-        .select(*groups, "_v", F.floor(F.log2("_v")).cast("double").alias("_e"))
-        .select(*groups, "_v", corrected.alias("_e"))
-        .select(
-            *groups,
-            ((e + _EXPONENT_SHIFT).cast("long") * F.lit(2**52) + fraction).alias("_place"),
-        )
-        .select(
-            *groups,
-            F.shiftright(place, 42).alias("_d0"),
-            F.shiftright(place, 21).bitwiseAND(F.lit(_DIGIT - 1)).alias("_d1"),
-            place.bitwiseAND(F.lit(_DIGIT - 1)).alias("_d2"),
-        )
-    )
-
-
-def _number(position: Column) -> Column:
-    exponent = F.shiftright(position, 52) - _EXPONENT_SHIFT
-    mantissa = position.bitwiseAND(F.lit(2**52 - 1)).cast("double") / _MANTISSA
-    return (1.0 + mantissa) * F.pow(F.lit(2.0), exponent.cast("double"))
+_INFINITE = float("inf")
+#: Slices per doubling of the value, and the slice of infinity, above all others.
+_SLICES = 1024
+_LAST_SLICE = 1 << 31
 
 
 def positive_quantiles(
     df: DataFrame, value: str, groups: Sequence[str], quantiles: dict[str, float]
 ) -> DataFrame:
-    """Linear-interpolated quantiles of the positive values per group, one column each."""
+    """Linear-interpolated quantiles of the positive values per group, one column each.
+
+    Infinity is a value like any other; missing values, NaN and values up to zero are left out.
+    """
     groups = list(groups)
-    rows = _with_digits(df, value, groups)
-    whole = Window.partitionBy(*groups)
-    bins = (
-        rows.groupBy(*groups, "_d0")
+    v = F.col("_v")
+    # the logarithm never falls as the value rises, so slices are in the order of values
+    part = F.when(v == _INFINITE, F.lit(_LAST_SLICE)).otherwise(F.floor(F.log2(v) * _SLICES))
+    counts = (
+        df.select(*groups, F.col(value).cast("double").alias("_v"))
+        .where((v > 0.0) & ~F.isnan(v))
+        .select(*groups, part.cast("long").alias("_slice"), "_v")
+        .groupBy(*groups, "_slice", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(_running(groups, "_d0")))
-        .withColumn("_total", F.sum("_n").over(whole))
+    )
+    slices = (
+        counts.groupBy(*groups, "_slice")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_end", F.sum("_n").over(_running(groups, "_slice")))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
         .withColumn("_request", F.explode(_requests(F.col("_total"), quantiles)))
-        .select(*groups, "_d0", "_n", "_end", "_request.*")
+        .select(*groups, "_slice", "_n", "_end", "_request.*")
+    )
+    start = F.col("_end") - F.col("_n")
+    wanted = slices.where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end"))).select(
+        *groups, "_slice", "_id", "_share", (F.col("_rank") - start).alias("_rank")
+    )
+    inside = counts.withColumn("_upto", F.sum("_n").over(_running([*groups, "_slice"], "_v")))
+    picked = null_safe_join(inside, wanted, [*groups, "_slice"], "inner").where(
+        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
     )
-    wanted = _hits(bins, groups, ["_d0"])
-    for prefix, digit in ((["_d0"], "_d1"), (["_d0", "_d1"], "_d2")):
-        keys = [*groups, "_id", "_share", "_rank", *prefix]
-        bins = (
-            null_safe_join(rows, wanted, [*groups, *prefix], "inner")
-            .groupBy(*keys, digit)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_end", F.sum("_n").over(_running([*groups, "_id"], digit)))
-        )
-        wanted = _hits(bins, groups, [*prefix, digit])
-    place = F.shiftleft(F.col("_d0"), 42) + F.shiftleft(F.col("_d1"), 21) + F.col("_d2")
-    picked = wanted.withColumn("_x", _number(place))
     columns = []
     for i, name in enumerate(quantiles):
-        low = F.max(F.when(F.col("_id") == 2 * i, F.col("_x")))
-        high = F.max(F.when(F.col("_id") == 2 * i + 1, F.col("_x")))
+        low = F.max(F.when(F.col("_id") == 2 * i, v))
+        high = F.max(F.when(F.col("_id") == 2 * i + 1, v))
         share = F.max(F.when(F.col("_id") == 2 * i, F.col("_share")))
-        columns.append((low + (high - low) * share).alias(name))
+        between = F.when((high == low) | (share == 0.0), low).otherwise(low + (high - low) * share)
+        columns.append(between.alias(name))
     return picked.groupBy(*groups).agg(*columns)
 
 
-def _running(keys: list[str], digit: str) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+def _running(keys: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _requests(total: Column, quantiles: dict[str, float]) -> Column:
@@ -109,11 +83,3 @@ def _requests(total: Column, quantiles: dict[str, float]) -> Column:
                 )
             )
     return F.array(*entries)
-
-
-def _hits(bins: DataFrame, groups: list[str], prefix: list[str]) -> DataFrame:
-    """Bins that hold a wanted rank, with the rank left inside them."""
-    start = F.col("_end") - F.col("_n")
-    return bins.where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end"))).select(
-        *groups, *prefix, "_id", "_share", (F.col("_rank") - start).alias("_rank")
-    )

@@ -341,12 +341,66 @@ def deterministic_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deterministic_pairs(left, right, [*_RULES, ("customer", "yr", "status")])
 
 
-@query("u_sample")
+def _level_shares_sql(name: str, highest: int) -> str:
+    return f"""
+        SELECT '{name}' AS comparison, CAST(level AS INTEGER) AS gamma,
+               greatest(count(*) FILTER (gamma_{name} = level)
+                        / CAST(count(*) FILTER (gamma_{name} >= 0) AS DOUBLE), 1e-12) AS u
+        FROM g, range({highest + 1}) AS levels(level) GROUP BY level
+    """
+
+
+_U_SQL = f"""
+    WITH {_REGISTERS_SQL},
+    size AS (
+        SELECT CAST(greatest(1, ceil((SELECT count(*) FROM l) * (SELECT count(*) FROM r) / 1e7))
+                    AS BIGINT) AS buckets
+    ),
+    ls AS (SELECT *, CAST('0x' || substr(md5('123|' || id), 1, 15) AS BIGINT) % buckets AS bucket
+           FROM l, size),
+    rs AS (SELECT *, CAST('0x' || substr(md5('123|' || id), 1, 15) AS BIGINT) % buckets AS bucket
+           FROM r, size),
+    g AS (SELECT {_GAMMA_SQL} FROM ls AS l JOIN rs AS r ON l.bucket = r.bucket),
+    shares AS (
+        {_level_shares_sql("price", 3)} UNION ALL {_level_shares_sql("day", 3)}
+        UNION ALL {_level_shares_sql("priority", 1)} UNION ALL {_level_shares_sql("season", 2)}
+    )
+"""
+
+
+@query("u_sample", f"{_U_SQL} SELECT comparison, gamma, u FROM shares")
 def u_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level shares among random pairs (depends on the hash, so checked by tests only)."""
+    """Level shares among random pairs."""
     left, right = _registers(spark, sf_dir)
     model = starting_model(_comparisons())
-    model = estimate_u(model, random_pairs(left, right, "id", max_pairs=2e5))
+    model = estimate_u(model, random_pairs(left, right, "id"))
+    return spark.createDataFrame(
+        parameters(model), "comparison string, gamma int, m double, u double"
+    ).select("comparison", "gamma", "u")
+
+
+@query(
+    "fixed_levels",
+    f"""{_U_SQL}
+    SELECT comparison, gamma,
+           CASE WHEN comparison = 'day' AND gamma = 3 THEN 0.0001 ELSE u END AS u
+    FROM shares
+    """,
+)
+def fixed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated level shares where one level keeps a given value."""
+    left, right = _registers(spark, sf_dir)
+    price, _, *others = _comparisons()
+    day = lv.compare(
+        "day",
+        lv.null_level("day"),
+        lv.exact("day").with_fixed(0.9999, 0.0001),
+        lv.within_difference("day", 7),
+        lv.within_difference("day", 90),
+        lv.otherwise(),
+    )
+    model = starting_model((price, day, *others))
+    model = estimate_u(model, random_pairs(left, right, "id"))
     return spark.createDataFrame(
         parameters(model), "comparison string, gamma int, m double, u double"
     ).select("comparison", "gamma", "u")
@@ -364,7 +418,6 @@ def em_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         prior_rules=[("customer", "yr", "mon")],
         recall=0.7,
         training_rules=[block_on("customer", "priority"), block_on("customer", "yr")],
-        max_pairs=2e5,
     )
     return spark.createDataFrame(
         parameters(model), "comparison string, gamma int, m double, u double"

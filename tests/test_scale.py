@@ -42,23 +42,51 @@ def test_hot_unit_keeps_all_rows(spark):
     assert kept.where("unit = 0").count() == 0
 
 
+def lines_below_exchanges(text):
+    """For each exchange of a plan, the operators below it down to the next exchange or scan."""
+    lines = [re.sub(r"^[\s:+*\-()\d]*", "", line) for line in text.splitlines()]
+    for k, line in enumerate(lines):
+        if line.startswith("Exchange hashpartitioning"):
+            below = []
+            for other in lines[k + 1 :]:
+                below.append(other)
+                if re.match(r"Exchange|Scan|FileScan|Range|LocalTableScan", other):
+                    break
+            yield line, below
+
+
 def test_quantile_shuffles_counts_only(spark):
-    result = quantile.positive_quantiles(hot(spark), "v", ["unit"], {"q": 0.9})
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(result))
-    assert exchanges
-    # Every shuffle follows a partial count or serves the small tables of ranks and bins.
-    assert all("_v#" not in keys for keys in exchanges)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        result = quantile.positive_quantiles(hot(spark), "v", ["unit"], {"q": 0.9})
+        found = list(lines_below_exchanges(plan(result)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found
+    # no exchange stands on a scan: between them there is always an aggregate of counts
+    for _, below in found:
+        assert below[-1].startswith("Exchange") or any("HashAggregate" in b for b in below)
     got = {r.unit: r.q for r in result.collect()}
     expected = hot(spark).groupBy("unit").agg(F.percentile("v", F.lit(0.9)).alias("q")).collect()
     for r in expected:
         assert abs(got[r.unit] - r.q) < 1e-6
 
 
+def test_quantile_keeps_infinity(spark):
+    inf = float("inf")
+    rows = [(1, 1.0), (1, 2.0), (1, inf), (2, inf), (2, inf), (3, float("nan")), (3, 4.0), (3, -1.0)]
+    data = spark.createDataFrame(rows, "g int, v double")
+    got = quantile.positive_quantiles(data, "v", ["g"], {"q": 0.5}).collect()
+    assert {r.g: r.q for r in got} == {1: 2.0, 2: inf, 3: 4.0}
+
+
 def test_no_tile_exceeds_its_share_of_a_hot_block(spark):
     data = hot(spark).withColumn("id", F.monotonically_increasing_id()).select("id", "unit")
     pairs = tiled_join(data.where("id % 2 = 0"), data.where("id % 2 = 1"), ["unit"], "id", 100)
-    text = plan(pairs)
-    assert "_tile_l" in text and "_tile_r" in text
+    # the stored list of hot blocks is broadcast, so records are exchanged by tile only
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(pairs))
+    assert all("_tile" in k for k in keys)
     left = data.where("unit = 0 AND id % 2 = 0").count()
     right = data.where("unit = 0 AND id % 2 = 1").count()
     assert pairs.where("unit_l = 0").count() == left * right
