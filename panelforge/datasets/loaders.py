@@ -149,7 +149,10 @@ def energy_inputs(
         data = fuels.append_older_fuels(
             data, combustion_plants(catalog), catalog.crosswalk("links_lcp_part")
         )
-    factors = fuels.emission_factors(catalog.spark) if estimate_emissions else None
+    factors = None
+    if estimate_emissions:
+        table = catalog.crosswalk("ipcc2006_table_2_2")
+        factors = fuels.emission_factors(catalog.spark, table)
     if repaired:
         emissions = emissions_to_air(catalog, True, True, add_older_plants, version)
         return pipelines.energy_inputs(data, emissions, factors)

@@ -30,7 +30,8 @@ def emissions_to_air(
     """Full panel by part and pollutant, unit errors repaired."""
     keys = [PART, "pollutantCode"]
     if balanced:
-        emissions = panel.balance(emissions, YEAR, keys)
+        # Balancing reads its source for bounds, present periods and rows.
+        emissions = panel.balance(stage(emissions, "emissions"), YEAR, keys)
     if repaired:
         emissions = anomaly.repair_units(emissions, "totalPollutantQuantityTNE", keys, YEAR)
     return emissions
@@ -49,7 +50,7 @@ def pollutant_releases(
         releases = apply_crosswalk(releases, clusters, FACILITY)
     if repaired:
         series = [FACILITY, "pollutantCode", "medium"]
-        releases = panel.balance(releases, YEAR, series)
+        releases = panel.balance(stage(releases, "releases"), YEAR, series)
         releases = releases.where("pollutantCode IS NOT NULL AND medium IS NOT NULL")
         releases = anomaly.drop_ambiguous(releases, value, [*series, YEAR])
         # The panel is read for targets, proxies, bounds and the final update.

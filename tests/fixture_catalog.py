@@ -7,6 +7,7 @@ import os
 import random
 
 from panelforge.constants import DATASET_VERSIONS
+from panelforge.operators.fuels import CO2_DEFAULT
 from panelforge.sources.catalog import CROSSWALKS, METADATA_TABLE, schema_of
 from panelforge.sources.plant_tables import PLANT_TABLES
 from panelforge.sources.register_tables import REGISTER_TABLES
@@ -208,7 +209,9 @@ def _crosswalks(folder: str) -> None:
     rows["deduplication_lcpmapping"] = [
         {"Facility_INSPIRE_ID_cluster": "F0", "Facility_INSPIRE_ID": "U0"}
     ]
-    rows["ipcc2006_table_2_2"] = [{"Fuel": "Natural Gas", "CO2_Default": 56100}]
+    rows["ipcc2006_table_2_2"] = [
+        {"Fuel": fuel, "CO2_Default": value} for fuel, value in CO2_DEFAULT.items()
+    ]
     rows["legal_forms"] = [
         {"Entity Legal Form name Local name": "Gesellschaft;GmbH",
          "Abbreviations Local language": "GmbH;AG"}

@@ -189,3 +189,19 @@ def test_deduplicate_facilities_job(catalog, spark):
     right = sum(r.Facility_INSPIRE_ID == f"OLD{r.Facility_INSPIRE_ID_cluster}" for r in got)
     assert right >= 0.8 * len(got)
     assert all(r.Facility_INSPIRE_ID.startswith("OLD") for r in got)
+
+
+def test_factors_come_from_the_catalogue(catalog, monkeypatch):
+    usual = loaders.energy_inputs(catalog).where("fuelInputCode = 'Coal'").first()
+    read = type(catalog).crosswalk
+
+    def doubled(self, name):
+        table = read(self, name)
+        if name == "ipcc2006_table_2_2":
+            table = table.withColumn("CO2_Default", table.CO2_Default * 2)
+        return table
+
+    monkeypatch.setattr(type(catalog), "crosswalk", doubled)
+    changed = loaders.energy_inputs(catalog).where("fuelInputCode = 'Coal'").first()
+    assert changed.emission_factor_tCO2TJ == pytest.approx(2 * usual.emission_factor_tCO2TJ)
+    assert changed.tCO2 / changed.energyInputTJ == pytest.approx(2 * usual.emission_factor_tCO2TJ)
