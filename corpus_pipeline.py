@@ -39,8 +39,8 @@ def deduplicate_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A null text comes out empty.
     """
-    found = suffix_dedup.deduplicate(docs)
-    cut = found.withColumn("text", suffix_dedup.as_text(F.col("kept")))
+    found = suffix_dedup.deduplicate(docs, decode=True)
+    cut = found.withColumnRenamed("kept", "text")
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return _with_text(left, docs)
 
@@ -48,15 +48,9 @@ def deduplicate_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark windows; texts with no other word go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.scan(docs, benchmark)
+    found = decontaminate.scan(docs, benchmark, cut=True)
     left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
-    cut = left.withColumn(
-        "text",
-        F.when(F.col("n_hit") == 0, F.col("text")).otherwise(
-            decontaminate.without_spans(F.col("text"), F.col("spans"))
-        ),
-    )
-    return _with_text(cut, docs)
+    return _with_text(left, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.llm.workers import release
+
 WINDOW = 10
 #: Words of test items in one broadcast block.
 BLOCK_WORDS = 1_000_000
@@ -268,8 +269,10 @@ def _scan_batch(texts: list[bytes | None], block: Block, shard_words: int):
     return n_words, items, spans
 
 
-def _with_block(docs: DataFrame, text: str, block: Block | None, shard_words: int) -> DataFrame:
-    """docs with the block's findings merged into _ADDED."""
+def _with_block(
+    docs: DataFrame, text: str, block: Block | None, shard_words: int, cut: bool = False
+) -> DataFrame:
+    """docs with the block's findings merged into _ADDED; with cut, all spans are removed."""
     kept = [f for f in docs.schema.fields if f.name not in _ADDED]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType(
@@ -305,8 +308,12 @@ def _with_block(docs: DataFrame, text: str, block: Block | None, shard_words: in
                 ]
             n_hit = [sum(b - a for a, b in s) for s in spans]
             as_dicts = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            columns = {n: batch.column(n) for n in names}
+            if cut and any(spans):
+                left = [_cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                columns[text] = pa.array(left, pa.binary()).cast(columns[text].type)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names]
+                [columns[n] for n in names]
                 + [
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
@@ -315,6 +322,7 @@ def _with_block(docs: DataFrame, text: str, block: Block | None, shard_words: in
                 ],
                 names=[*names, *_ADDED],
             )
+        release()
 
     return docs.mapInArrow(scan, schema)
 
@@ -328,36 +336,28 @@ def scan(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    cut: bool = False,
 ) -> DataFrame:
-    """docs with n_words, n_hit, items (ids, sorted) and spans (hit words, from start to end)."""
-    found = docs.drop(*_ADDED)
-    any_block = False
+    """docs with n_words, n_hit, items (ids, sorted) and spans (hit words, from start to end).
+
+    With cut, the text comes without its spans; the counts remain those of the text as it was.
+    """
+    found, held = docs.drop(*_ADDED), None
     for block in blocks_of(benchmark, item_id, item_text, window, block_words):
-        found, any_block = _with_block(found, text, block, shard_words), True
-    return found if any_block else _with_block(found, text, None, shard_words)
+        if held is not None:
+            found = _with_block(found, text, held, shard_words)
+        held = block
+    return _with_block(found, text, held, shard_words, cut)
 
 
-def _cut(text: str | None, spans) -> str | None:
-    """text without the words of the spans and what stands between them."""
-    if text is None or spans is None or not len(spans):
-        return text
-    data = text.encode("utf-8", "surrogatepass")
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """data without the words of the spans and what stands between them."""
     inside = np.frombuffer(data.translate(_AS_WORDS), dtype=np.uint8) != 32
     change = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     kept, at = [], 0
-    for span in spans:
-        kept.append(data[at : starts[span["start"]]])
-        at = ends[span["end"] - 1]
+    for first, last in spans:
+        kept.append(data[at : starts[first]])
+        at = ends[last - 1]
     kept.append(data[at:])
-    return b"".join(kept).decode("utf-8", "surrogatepass")
-
-
-def without_spans(text: Column, spans: Column) -> Column:
-    """The text with its hit spans removed."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
-
-    return cut(text, spans)
+    return b"".join(kept)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.cutting_stock import Pattern, patterns
 from panelforge.llm.running import running_total
+from panelforge.llm.workers import release
 from panelforge.sources.staging import stage, stage_path
 
 LENGTH = 4096
@@ -149,6 +150,7 @@ def _tokenise(
                     ],
                     names=["row", "doc_id", "doc_tokens", "rest", "rest_crc", "crcs", "ids"],
                 )
+        release()
 
     made = rows.mapInArrow(
         encode,

@@ -24,14 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
+from panelforge.llm.workers import release
 from panelforge.sources.staging import stage
 
 SHINGLE = 4
 SEED = 42
 BITS = 64
 RADIUS = 4
-#: Values held in a task at once.
+#: Values behind one prefix, and values that a task holds at once.
 BUFFER = 1 << 22
+HELD = 1 << 20
 #: Leading bits that the shuffle uses at least; more as fingerprints grow in number.
 LEAST_PREFIX = 8
 _PIECE = 1 << 15
@@ -176,7 +178,10 @@ def near_links(
     ).select("fp", F.col("home").bitwiseXOR(F.col("flip")).alias("bucket"))
 
     def link(key, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _bucket_links(int(key[0]), rows["fp"].to_numpy(), prefix, half, buffer)
+        a, b = _bucket_links(
+            int(key[0]), rows["fp"].to_numpy(), prefix, half, min(buffer, HELD)
+        )
+        release()
         return pd.DataFrame({"a": a, "b": b})
 
     return sent.groupBy("bucket").applyInPandas(link, "a long, b long")
@@ -211,7 +216,10 @@ def as_hex(fp: Column) -> Column:
 def keep_one_per_group(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """docs without the rows whose group holds a smaller id; rows without an id stay."""
+    """docs without the rows whose group holds a smaller id.
+
+    Rows without an id stay. Rows that share an id are one document: they stay or go together.
+    """
     extra = near_groups(docs, doc_id, text, radius=radius).where("doc_id > component_id")
     gone = extra.select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti")

@@ -35,11 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm.induced_sorting import permuted_prefixes, suffix_array
+from panelforge.llm.workers import release
 
 LENGTH = 50
 #: Bytes of a gram, a multiple of 8; a window holds LENGTH - GRAM + 1 of them.
@@ -225,6 +226,7 @@ def _announce(shards: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"]
             )
+        release()
 
     return announce
 
@@ -277,6 +279,7 @@ def _bundled(buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"]
             )
+        release()
 
     return bundle
 
@@ -444,6 +447,7 @@ def _repeated(buckets: int):
             made.append(
                 (bucket, pack(doc[part], tag[part], begins[part], (ends - begins)[part].astype(np.uint32)))
             )
+        release()
         return pd.DataFrame(made, columns=["bucket", "blob"])
 
     return repeated
@@ -476,7 +480,7 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _RESULT = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
-def _remove(names: list[str]):
+def _remove(names: list[str], decode: bool):
     """Rows of a bucket without the ranges they lose."""
 
     def remove(key, docs: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
@@ -505,24 +509,21 @@ def _remove(names: list[str]):
             totals.append(len(data))
             removed.append(len(data) - len(kept[-1]))
             spans.append(len(begin))
+        if decode:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         out = docs[names].copy()
         return out.assign(kept=kept, n_bytes=totals, n_removed=removed, n_spans=spans)
 
     return remove
 
 
-def as_text(kept: Column) -> Column:
-    """The bytes left as text; characters of which only a part is left are dropped."""
+def deduplicate(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", decode: bool = False
+) -> DataFrame:
+    """docs without text, with kept (bytes left), n_bytes, n_removed and n_spans.
 
-    @F.pandas_udf("string")
-    def decoded(data: pd.Series) -> pd.Series:
-        return pd.Series([bytes(d).decode("utf-8", "ignore") for d in data], dtype=object)
-
-    return decoded(kept)
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without text, with kept (bytes left), n_bytes, n_removed and n_spans."""
+    With decode, kept is a string; characters of which only a part is left are dropped.
+    """
     fields = [f for f in docs.schema.fields if f.name not in (*_RESULT, text)]
     names = [f.name for f in fields]
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -554,7 +555,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     result = T.StructType(
         [
             *fields,
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if decode else T.BinaryType()),
             T.StructField("n_bytes", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("n_spans", T.LongType()),
@@ -563,5 +564,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return (
         full.groupBy("bucket")
         .cogroup(ranges.groupBy("bucket"))
-        .applyInPandas(_remove(names), result)
+        .applyInPandas(_remove(names, decode), result)
     )

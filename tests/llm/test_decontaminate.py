@@ -70,11 +70,11 @@ def test_index_finds_every_occurrence():
 def test_spans_are_removed(spark):
     docs, items = make(2)
     frame = spark.createDataFrame([(k, t, "", "", 0) for k, t in docs], edge.DOCS)
-    found = decontaminate.scan(frame, spark.createDataFrame(items, edge.ITEMS))
-    cut = found.withColumn("left", decontaminate.without_spans(found.text, found.spans))
-    for r in cut.collect():
-        hit = {k for s in r.spans for k in range(s.start, s.end)}
-        assert split(r.left) == [w for k, w in enumerate(split(r.text)) if k not in hit]
+    frame, bench = frame.withColumn("before", frame.text), spark.createDataFrame(items, edge.ITEMS)
+    for blocks in (10_000, 20):
+        for r in decontaminate.scan(frame, bench, block_words=blocks, cut=True).collect():
+            hit = {k for s in r.spans for k in range(s.start, s.end)}
+            assert split(r.text) == [w for k, w in enumerate(split(r.before)) if k not in hit]
 
 
 def test_edge_cases(spark):
