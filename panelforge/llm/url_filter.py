@@ -30,7 +30,7 @@ RULES = (
     ("org/", "allow"),
     ("example.org/es/", "block"),
     ("example.org/en/1", "block"),
-    ("com/fr", "allow"),
+    ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
 

@@ -66,3 +66,30 @@ def test_plan_has_no_python(spark, model):
     found = url_filter.judge(pages, model)
     assert found.count() == 0
     assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_five_contract_rules(spark, model):
+    assert dict(url_filter.RULES) == {
+        "org/": "allow",
+        "example.org/es/": "block",
+        "example.org/en/1": "block",
+        "com/fr/": "allow",
+        "com/de/": "block",
+    }
+    urls = {
+        "http://a.com/fr/x": "com/fr/",
+        "http://a.com/fr/": "com/fr/",
+        "http://a.com/fr": None,
+        "http://a.com/free": None,
+        "http://cheap-casino.com/friends/1": None,
+        "http://a.com/de/x": "com/de/",
+        "http://a.com/deal": None,
+        "http://www.example.org/es/1": "example.org/es/",
+        "http://example.org/en/12": "example.org/en/1",
+        "http://example.org/en/2": "org/",
+    }
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], edge.PAGES)
+    found = {r.url: r for r in url_filter.judge(pages, model).collect()}
+    assert {u: r.rule for u, r in found.items()} == urls
+    judged = found["http://cheap-casino.com/friends/1"]
+    assert judged.verdict == ("block" if judged.block_score > 0.5 else "allow")
