@@ -14,13 +14,15 @@ n-grams are exact 64-bit keys. Nothing of it is ever held whole:
 
 Blocks are ranges of the stored rows, so the texts are not shuffled for scoring. A fifth of the
 trusted documents (by id hash) is not counted; their perplexities, being those of unseen good
-text, give the quantile that documents of the same language are compared with. A language with
-fewer than `LEAST_OF_LANG` of them takes the quantile of all languages if that is higher; the threshold is `SLACK` times it.
+text, give the threshold of their language: on the logarithm, the median plus `SPREAD` standard
+deviations, these taken from the median distance to the median. Neither moves with a few noisy
+trusted documents. The deviation is averaged with that of all languages, which weighs as much as
+`PRIOR` documents, so that a language with a handful of documents has one too.
 
 Null and blank texts have no perplexity and are not kept. Without trusted text there is no
 model: every text has perplexity 256 (all bytes alike), no threshold, and is kept; without a
-held-out trusted document there is no threshold either. A null
-language is a language of its own without a quantile. Repeated rows are judged one by one.
+held-out trusted document of its language a document has no threshold either. A null
+language is a language of its own without a threshold. Repeated rows are judged one by one.
 Input columns named like the results are replaced; all others pass through.
 """
 
@@ -38,11 +40,12 @@ from pyspark.sql import types as T
 from panelforge.sources.staging import stage, stage_path
 
 ORDER = 5
-QUANTILE = 0.995
-#: Perplexities up to this factor above the quantile are still kept.
-SLACK = 1.1
-#: Held-out trusted documents that a language needs for a quantile of its own.
-LEAST_OF_LANG = 30
+#: Standard deviations above the median that are still kept.
+SPREAD = 3.0
+#: Held-out documents that the deviation of all languages weighs as much as.
+PRIOR = 10
+#: Standard deviation of a normal distribution over its median distance to the median.
+_NORMAL = 1.4826
 FOLDS = 5
 ACCURACY = 10_000
 LEAST_DISCOUNT = 0.1
@@ -302,6 +305,28 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     return docs.mapInArrow(score, schema)
 
 
+def thresholds(reference: DataFrame, lang: str = "lang", spread: float = SPREAD) -> DataFrame:
+    """(lang, threshold) of the languages in reference, which has perplexities of good text."""
+    logs = reference.where(F.col(lang).isNotNull()).select(lang, F.log("perplexity").alias("__log"))
+    half = F.percentile_approx("__log", 0.5, ACCURACY)
+    centres = logs.groupBy(lang).agg(half.alias("__centre"))
+    away = logs.join(centres, lang).withColumn("__away", F.abs(F.col("__log") - F.col("__centre")))
+    middle = F.percentile_approx("__away", 0.5, ACCURACY)
+    of_all = F.lit(away.agg(middle).first()[0]).cast("double")
+    deviation = (F.col("__n") * F.col("__own") + PRIOR * of_all) / (F.col("__n") + PRIOR)
+    return (
+        away.groupBy(lang)
+        .agg(
+            F.first("__centre").alias("__centre"),
+            middle.alias("__own"),
+            F.count("*").alias("__n"),
+        )
+        .select(
+            lang, F.exp(F.col("__centre") + spread * _NORMAL * deviation).alias("threshold")
+        )
+    )
+
+
 def judge(
     docs: DataFrame,
     trusted: DataFrame,
@@ -310,8 +335,7 @@ def judge(
     lang: str = "lang",
     block: str | None = None,
     order: int = ORDER,
-    quantile: float = QUANTILE,
-    slack: float = SLACK,
+    spread: float = SPREAD,
 ) -> DataFrame:
     """docs without text, with perplexity, threshold and kept.
 
@@ -331,19 +355,9 @@ def judge(
     model = Model(docs.select("__block", doc_id, text), folder, order)
     scored = stage(perplexities(docs, model, text).drop(text, "threshold", "kept"), "perplexity")
     reference = scored.join(good.where(unseen), doc_id, "left_semi").where("perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", quantile, ACCURACY)
-    by_lang = (
-        reference.where(F.col(lang).isNotNull())
-        .groupBy(lang)
-        .agg(at.alias("__own"), F.count("*").alias("__n"))
-    )
-    overall = reference.agg(at).first()[0]
-    of_all = F.lit(overall).cast("double")
-    enough = F.col("__n") >= LEAST_OF_LANG
+    limits = thresholds(reference, lang, spread)
     return (
-        scored.join(by_lang, lang, "left")
-        .withColumn("threshold", F.when(enough, F.col("__own")).otherwise(F.greatest("__own", of_all)) * slack)
-        .drop("__own", "__n")
+        scored.join(limits, lang, "left")
         .withColumn(
             "kept",
             F.col("perplexity").isNotNull()

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -93,3 +94,41 @@ def test_good_documents_are_kept(spark):
     rows = found.where("quality = 0 OR toxic = 0").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()
     share = {r.quality: r.s for r in rows}
     assert share[1] > 0.97 and share[0] < 0.4
+
+
+def _noisy_rows(spark, lang, first, count, rng):
+    """Rows of good sentences; one of those held out is noise. Then a row of other noise."""
+    words = edge.ENGLISH.split()
+    ids = range(first, first + count)
+    fold = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(kneser_ney.FOLDS))
+    held = [r.id for r in spark.range(first, first + count).where(fold == 0).collect()]
+    assert len(held) > 2
+
+    def noise():
+        return "".join(rng.choice("qxzjkvw0123456789%&$") for _ in range(400))
+
+    good = [(k, " ".join(rng.sample(words, len(words))), lang, "a") for k in ids if k != held[0]]
+    return [*good, (held[0], noise(), lang, "a")], (first + count, noise(), lang, "b")
+
+
+def test_one_noisy_trusted_document_does_not_set_the_limit(spark):
+    rng = random.Random(5)
+    many, bad = _noisy_rows(spark, "en", 0, 200, rng)
+    few, worse = _noisy_rows(spark, "de", 1000, 25, rng)
+    docs = edge.docs(spark, [*many, bad, *few, worse])
+    trusted = spark.createDataFrame([(r[0],) for r in [*many, *few]], "doc_id long")
+    found = {r.doc_id: r for r in kneser_ney.judge(docs, trusted, order=ORDER).collect()}
+    assert not found[bad[0]].kept and not found[worse[0]].kept
+    assert sum(found[r[0]].kept for r in many) >= 0.95 * len(many)
+    assert sum(found[r[0]].kept for r in few) >= 0.9 * len(few)
+
+
+def test_few_bad_documents_are_kept(spark):
+    table = "/root/testdata/sf0.1/{}.parquet".format
+    labels = spark.read.parquet(table("labels"))
+    docs = spark.read.parquet(table("documents")).join(labels.select("doc_id"), "doc_id", "left_semi")
+    trusted = labels.where("quality = 1 AND toxic = 0")
+    found = kneser_ney.judge(docs, trusted).select("doc_id", "kept").join(labels, "doc_id")
+    rows = found.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()
+    share = {(r.quality, r.toxic): r.s for r in rows}
+    assert share[1, 0] > 0.97 and share[0, 0] < 0.05 and share[0, 1] < 0.05
