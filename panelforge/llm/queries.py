@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import (
     decontaminate,
+    exact_dedup,
     html_wrapper,
     kneser_ney,
     language_id,
@@ -186,3 +187,16 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
     found = kneser_ney.judge(docs, trusted, block="block")
     return found.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@_query(
+    "op12_exact_dedup",
+    """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and whether it is the one that stays."""
+    found = exact_dedup.groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
