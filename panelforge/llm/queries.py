@@ -18,6 +18,7 @@ from panelforge.llm import (
     simhash,
     suffix_dedup,
     url_filter,
+    vector_codes,
     warc,
 )
 
@@ -200,3 +201,55 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts and whether it is the one that stays."""
     found = exact_dedup.groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _op11_sql() -> str:
+    """Every distance of every round, round by round."""
+    rounds = []
+    for k in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT row, part, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d
+  FROM (SELECT c.row, part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+        FROM components c JOIN book{k} b USING (part, position) GROUP BY ALL)
+  GROUP BY row, part)""")
+        if k < vector_codes.ROUNDS:
+            rounds.append(f"""
+middle{k} AS (
+  SELECT part, entry, position, sum(x) AS s, count(*)::HUGEINT AS n
+  FROM near{k} JOIN components USING (row, part) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, position,
+         CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM book{k} b LEFT JOIN middle{k} USING (part, entry, position))""")
+    last = f"near{vector_codes.ROUNDS}"
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::HUGEINT) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+components AS MATERIALIZED (
+  SELECT row, (i - 1) // (len(v) // 8) AS part, (i - 1) % (len(v) // 8) AS position, v[i] AS x
+  FROM kept, unnest(range(1, len(v) + 1)) AS t(i)),
+book0 AS (SELECT part, row - 1 AS entry, position, x FROM components WHERE row <= 16),
+{",".join(rounds)},
+coded AS (
+  SELECT row, string_agg(printf('%02x', entry::BIGINT), '' ORDER BY part) AS code,
+         sum(d)::BIGINT AS error
+  FROM {last} GROUP BY row)
+SELECT vec_id, code, error,
+       (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, position))
+        FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (row)"""
+
+
+@_query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error and that of its label, and a digest of the codebooks."""
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_group_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
