@@ -14,6 +14,7 @@ from panelforge.llm import (
     kneser_ney,
     language_id,
     packing,
+    prefix_trie,
     quality_rules,
     simhash,
     suffix_dedup,
@@ -253,3 +254,54 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_group_error(coded).select(
         "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
     )
+
+
+#: One step of CRC-32 by bits, over the ASCII codes of the id's digits.
+_CRC_SQL = """
+xor(list_reduce(list_prepend(4294967295::BIGINT,
+                             list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+        lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+    4294967295)"""
+
+
+@_query(
+    "op13_prefix_trie",
+    f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS own, ({_CRC_SQL}) % 6 AS h
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS path
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d AS depth, path[1:d] AS path, d = len(path) AS ends
+  FROM rebuilt, unnest(range(len(path) + 1)) AS t(d)),
+nodes AS MATERIALIZED (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), ''))
+           AS ends_sha256
+  FROM prefixes GROUP BY depth, path),
+children AS (
+  SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL),
+worth AS MATERIALIZED (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.path[-1].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children USING (depth, path)),
+below AS (
+  SELECT p.depth, p.path, sum(saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (n_children = 0) AS n_leaves
+  FROM worth n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM worth n JOIN below USING (depth, path)
+LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1]""",
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
