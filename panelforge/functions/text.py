@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import as_col
+from panelforge.sources.staging import stage
 
 # The helpers travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -71,41 +72,72 @@ def stop_words(codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _without_words(text: Column, drop: Column) -> Column:
-    """The text without the given words."""
-    kept = F.filter(F.split(text, " "), lambda word: ~F.array_contains(drop, word))
-    return F.array_join(kept, " ")
+#: Stop words that a projection carries as literals; longer lists are joined.
+LITERAL_WORDS = 10_000
 
 
-def strip_stop_words(
-    df: DataFrame, stop_list: DataFrame, columns: Sequence[str], unique_id: str
-) -> DataFrame:
-    """Remove stop words from the columns, keeping word order; nothing left means missing.
+def _bare(text: Column) -> Column:
+    """Text with letters a-z, digits and the blanks that separate words."""
+    return F.regexp_replace(text, "(?i)[^a-z0-9 ]", "")
+
+
+def _paired(text: Column) -> Column:
+    """Every word with its bare form, in order."""
+    return F.arrays_zip(
+        F.split(text, " ").alias("word"), F.split(_bare(text), " ").alias("bare")
+    )
+
+
+def _strip_by_literals(text: Column, listed: Sequence[str]) -> Column:
+    """Words whose bare form is not listed; the list is one hash set in the JVM."""
+    kept = F.filter(_paired(text), lambda pair: ~pair["bare"].isin(*listed))
+    return F.array_join(kept["word"], " ")
+
+
+def _strip_by_join(df: DataFrame, stop_list: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same by a join of every word with the list, for lists of any length.
 
-    The distinct words of each record look up the stop list, and only the hits are
-    shuffled. Each record then drops its own hits, which are at most its own words.
+    Rows are numbered in a stored copy, so that rows without an id, or with the same one, do not
+    mix. A row's words come back in order; they are at most its own.
     """
+    numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     texts = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), _paired(F.col(c)).alias("pairs")) for c in columns]
     )
-    words = df.select(unique_id, F.explode(texts).alias("_e")).select(
-        unique_id, "_e.column", F.explode(F.array_distinct(F.split("_e.text", " "))).alias("word")
-    )
-    bare = F.regexp_replace(F.col("word"), "(?i)[^a-z0-9]", "")
-    hits = words.withColumn("_bare", bare).join(
-        stop_list.select(F.col("word").alias("_bare")), "_bare", "left_semi"
-    )
-    dropped = hits.groupBy(unique_id).agg(
-        *[
-            F.collect_set(F.when(F.col("column") == c, F.col("word"))).alias(f"_drop_{c}")
-            for c in columns
-        ]
+    words = (
+        numbered.select("_row", F.explode(texts).alias("_e"))
+        .select("_row", "_e.column", F.posexplode("_e.pairs").alias("at", "_p"))
+        .select("_row", "column", "at", "_p.word", F.col("_p.bare").alias("_bare"))
     )
+    kept = words.join(stop_list.select(F.col("word").alias("_bare")), "_bare", "left_anti")
+
+    def ordered(c: str) -> Column:
+        mine = F.when(F.col("column") == c, F.struct("at", "word"))
+        return F.array_join(F.array_sort(F.collect_list(mine))["word"], " ").alias(f"_kept_{c}")
 
-    def stripped(c: str) -> Column:
-        drop = F.col(f"_drop_{c}")
-        kept = F.when(F.size(drop) > 0, _without_words(F.col(c), drop)).otherwise(F.col(c))
-        return F.nullif(kept, F.lit("")).alias(c)
+    back = kept.groupBy("_row").agg(*[ordered(c) for c in columns])
+    joined = numbered.join(back, "_row", "left")
+    return joined.select(*[F.col(f"_kept_{c}").alias(c) if c in columns else F.col(c)
+                           for c in df.columns])
 
-    joined = df.join(dropped, unique_id, "left")
-    return joined.select(*[stripped(c) if c in columns else F.col(c) for c in df.columns])
+
+def strip_stop_words(
+    df: DataFrame,
+    stop_list: DataFrame,
+    columns: Sequence[str],
+    literal_words: int = LITERAL_WORDS,
+) -> DataFrame:
+    """Remove stop words from the columns, keeping word order; nothing left means missing.
+
+    A list of at most ``literal_words`` words becomes part of one projection that moves no row;
+    a longer one is joined.
+    """
+    found = stop_list.where(F.col("word").isNotNull()).select("word").distinct()
+    listed = [r.word for r in found.limit(literal_words + 1).collect()]
+    if not listed:
+        stripped = df
+    elif len(listed) <= literal_words:
+        stripped = df.withColumns({c: _strip_by_literals(F.col(c), listed) for c in columns})
+    else:
+        stripped = _strip_by_join(df, found, columns)
+    return stripped.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns})

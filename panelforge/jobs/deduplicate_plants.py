@@ -47,7 +47,7 @@ def plant_records(facilities: DataFrame, stop_list: DataFrame) -> DataFrame:
         )
         .select(*_KEPT)
     )
-    return strip_stop_words(plants, stop_list, ["parentCompanyName", PART_NAME], "unique_id")
+    return strip_stop_words(plants, stop_list, ["parentCompanyName", PART_NAME])
 
 
 def parent_records(
@@ -85,7 +85,7 @@ def parent_records(
         .select(*_KEPT)
     )
     names = ["parentCompanyName", "nameOfFeature", PART_NAME]
-    return strip_stop_words(parents, stop_list, names, "unique_id")
+    return strip_stop_words(parents, stop_list, names)
 
 
 def comparisons() -> tuple[lv.Comparison, ...]:

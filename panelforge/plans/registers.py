@@ -788,4 +788,4 @@ def stop_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def strip_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return names.strip_stop_words(documents, _legal_words(spark, sf_dir), ["text"], "doc_id")
+    return names.strip_stop_words(documents, _legal_words(spark, sf_dir), ["text"])

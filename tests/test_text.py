@@ -56,7 +56,7 @@ def test_stop_words_and_stripping(spark):
         "unique_id int, a string, b string",
     )
     stop_list = spark.createDataFrame([(w,) for w in words], "word string")
-    got = names.strip_stop_words(df, stop_list, ["a", "b"], "unique_id").orderBy("unique_id")
+    got = names.strip_stop_words(df, stop_list, ["a", "b"]).orderBy("unique_id")
     assert [tuple(r) for r in got.collect()] == [
         (1, "muller werk", None),
         (2, None, None),
@@ -64,6 +64,31 @@ def test_stop_words_and_stripping(spark):
     ]
 
 
+def test_stripping_needs_no_ids_and_takes_lists_of_any_length(spark):
+    rows = [
+        (None, "the mill, The end", "x"),
+        (None, "of the", None),
+        (1, "", "the-the"),
+        (1, "a  b " * 5000 + "o.f", "of"),
+    ]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    stop_list = spark.createDataFrame([("the",), ("of",), (None,), ("thethe",)], "word string")
+    wanted = [
+        (None, "mill, The end", "x"),
+        (None, None, None),
+        (1, None, None),
+        (1, ("a  b " * 5000)[:-1], None),
+    ]
+    for literal_words in (10, 1):  # one projection, then the join
+        got = names.strip_stop_words(df, stop_list, ["a", "b"], literal_words)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+        assert got.columns == df.columns
+    plan = names.strip_stop_words(df, stop_list, ["a"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "INSET" in plan.upper() or " IN " in plan
+    none = names.strip_stop_words(df, stop_list.limit(0), ["a", "b"])
+    assert none.where("a = ''").count() == 0
+
+
 def test_jaro_winkler_matches_sql(spark):
     words = ["martha", "marhta", "dixon", "dicksonx", "", "a", "ab", "müller", "mueller",
              "kraftwerk nord", "kraftwerk süd", "central", "centrale", "abcdefgh", "hgfedcba"]
