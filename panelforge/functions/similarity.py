@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import sys
+import zlib
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -67,6 +70,147 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     return _jaro_winkler_batch(left, right)
 
 
+# --- letters: what bounds the similarity of two texts without matching them -------------
+#
+# Jaro similarity counts m matched letters, so it is at most (m/a + m/b + 1) / 3 for texts of a
+# and b bytes, and m is at most the number of letters they share, counted with repeats. Written
+# as (letter, n-th occurrence) both texts are sets, and what they share is an intersection.
+
+#: Bits of a letter token that hold the occurrence.
+_OCCURRENCE = 40
+#: Occurrences that a measured order tells apart; later ones are rare.
+_MEASURED = 8
+#: Text lengths fall into the same class if they differ by less than this factor.
+_LENGTH_STEP = 1.25
+#: Leading bytes that a pair shares: at least and at most.
+_SHARED = ((0, 0), (1, 3), (4, 4))
+_SLACK = 1e-9
+
+
+def _letters(text: bytes) -> list[int]:
+    seen: dict[int, int] = {}
+    tokens = []
+    for byte in text:
+        n = seen[byte] = seen.get(byte, 0) + 1
+        tokens.append(byte << _OCCURRENCE | n)
+    return tokens
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _letters_batch(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _letters(t.encode()) for t in text], dtype=object)
+
+
+def letters(text: Column) -> Column:
+    """The bytes of a text as (byte, n-th occurrence) numbers, once per record."""
+    return _letters_batch(text)
+
+
+def letter_order(df, *columns: str) -> dict[int, int]:
+    """Rows that hold each letter token, for the first occurrences; at most 2048 entries."""
+    token = F.explode(F.array_distinct(F.concat(*[letters(F.col(c)) for c in columns])))
+    known = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    counts = known.select(token.alias("token")).groupBy("token").count()
+    early = counts.where(F.col("token").bitwiseAND(F.lit((1 << _OCCURRENCE) - 1)) <= _MEASURED)
+    return {row["token"]: row["count"] for row in early.collect()}
+
+
+def shared_letters(letters_left: Column, letters_right: Column) -> Column:
+    """Number of letters two texts have in common, counted with repeats."""
+    return F.size(F.array_intersect(letters_left, letters_right))
+
+
+def jaro_winkler_bound(left: Column, right: Column, shared: Column) -> Column:
+    """No less than the Jaro-Winkler similarity of texts with so many shared letters."""
+    n, m = F.octet_length(left), F.octet_length(right)
+    jaro = (shared / n + shared / m + F.lit(1.0)) / 3
+    a, b = left.cast("binary"), right.cast("binary")
+    prefix = F.lit(0)
+    for k in range(1, 5):
+        same = (n >= k) & (m >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k))
+        prefix = F.when(same, F.lit(k)).otherwise(prefix)
+    raised = jaro + F.when(jaro > 0.7, 0.1 * prefix * (1 - jaro)).otherwise(F.lit(0.0))
+    known = left.isNotNull() & right.isNotNull()
+    return F.when(known & (shared > 0), raised + _SLACK).when(known, F.lit(0.0))
+
+
+def least_jaro(threshold: float, shared: int) -> float:
+    """The lowest Jaro similarity that reaches the threshold with so many leading bytes shared."""
+    if threshold <= 0.7:
+        return threshold
+    return max(0.7, (threshold - 0.1 * shared) / (1 - 0.1 * shared))
+
+
+def _length_class(n: int) -> int:
+    return int(math.log(n) / math.log(_LENGTH_STEP) + _SLACK)
+
+
+def _needed(jaro: float, n: int, m: int) -> int:
+    """Letters that texts of n and m bytes share at least if they reach the Jaro similarity."""
+    return max(1, math.ceil((3 * jaro - 1) * n * m / (n + m) - _SLACK))
+
+
+def _partners(jaro: float, n: int) -> list[tuple[int | None, int]]:
+    """Length classes of possible partners, each with the shortest length it can have."""
+    ratio = 3 * jaro - 2
+    if ratio <= 0.05:
+        return [(None, 1)]
+    least, most = math.ceil(ratio * n - _SLACK), math.floor(n / ratio + _SLACK)
+    found: dict[int | None, int] = {}
+    for m in range(max(1, least), most + 1):
+        found.setdefault(_length_class(m), m)
+    return list(found.items())
+
+
+def _text_keys(
+    text: bytes, threshold: float, order: Mapping[int, int], tag: int, is_left: bool
+) -> list[int]:
+    n, keys = len(text), set()
+    if not n:
+        return []
+    # A letter that no measured row has, or a late repeat, is the rarest; any one order is exact.
+    tokens = sorted(_letters(text), key=lambda t: (order.get(t, 0), -(t % (1 << _OCCURRENCE)), -t))
+    for shared, most in _SHARED:
+        if n < shared:
+            continue
+        jaro = least_jaro(threshold, most)
+        lead = int.from_bytes(text[:shared], "big")
+        for partner, m in _partners(jaro, n):
+            own = None if partner is None else _length_class(n)
+            classes = (own, partner) if is_left else (partner, own)
+            # If both sets share `needed` tokens, they share one of the first n - needed + 1.
+            for token in tokens[: max(0, n - _needed(jaro, n, m) + 1)]:
+                key = (tag, shared, lead, *(-1 if c is None else c for c in classes), token)
+                keys.add(hash(key))  # hashes of whole numbers do not depend on the process
+    return sorted(keys)
+
+
+def similar_text_keys(
+    text: Column,
+    threshold: float,
+    tag: str,
+    is_left: bool,
+    order: Mapping[int, int] | None = None,
+) -> Column:
+    """Keys of which any two texts at or above a Jaro-Winkler similarity share one.
+
+    An inverted index over single letters with their repeats (longer grams may all be broken by
+    transpositions, so they would lose pairs), cut by prefix and length filters; the number of
+    leading bytes two texts share sets how alike the rest must be. One Arrow pass over records.
+    """
+    mark, ranks = zlib.crc32(f"{tag}:{threshold}".encode()), dict(order or {})
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(texts: pd.Series) -> pd.Series:
+        known: dict[str, list[int]] = {}
+        for t in texts:
+            if t is not None and t not in known:
+                known[t] = _text_keys(t.encode(), threshold, ranks, mark, is_left)
+        return pd.Series([known.get(t, []) for t in texts], dtype=object)
+
+    return keys(text)
+
+
 def cosine(left: Column, right: Column) -> Column:
     """Cosine of two equally long vectors; missing where one is all zero."""
 

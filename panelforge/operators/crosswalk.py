@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.ordered import value_at_max
+from panelforge.sources.staging import stage
 
 
 def apply_crosswalk(
@@ -51,6 +52,36 @@ def enforce_one_to_one(matches: DataFrame, member: str, cluster: str) -> DataFra
     )
 
 
+def one_to_one_matching(pairs: DataFrame, left: str, right: str, weight: str) -> DataFrame:
+    """Pairs in which every left and every right record occurs once: the greedy matching.
+
+    The same pairs as taking the heaviest first, then the heaviest of the rest, and so on (ties:
+    least left, then least right id), but in parallel: each round takes all pairs that are the
+    best of both their records, and drops what these rule out. The heaviest pair left is always
+    such a pair, so it ends; rounds follow the longest chain of ever lighter pairs, not the number
+    of records. Pairs with a missing id or weight match nothing; of repeated pairs the heaviest
+    counts.
+    """
+    rest = stage(
+        pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+        .where(F.col(weight).isNotNull())
+        .groupBy(left, right)
+        .agg(F.max(weight).alias(weight)),
+        "to-match",
+    )
+    taken = rest.limit(0)
+    while not rest.isEmpty():
+        first = [F.min(F.struct(-F.col(weight), c))[c].alias("_best") for c in (right, left)]
+        of_left = rest.groupBy(left).agg(first[0]).withColumnRenamed("_best", right)
+        of_right = rest.groupBy(right).agg(first[1]).withColumnRenamed("_best", left)
+        found = stage(rest.join(of_left.join(of_right, [left, right]), [left, right]), "matched")
+        taken = taken.unionByName(found)
+        for side in (left, right):
+            rest = rest.join(found.select(side), side, "left_anti")
+        rest = stage(rest, "to-match")
+    return taken.select(left, right, weight)
+
+
 def edges_to_unlinked(
     pairs: DataFrame, unique_id: str, known: str, weight: str, carry: Sequence[str] = ()
 ) -> DataFrame:

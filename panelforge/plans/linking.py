@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.geo import distance_km
-from panelforge.functions.similarity import cosine, jaro_winkler
+from panelforge.functions.similarity import cosine, jaro_winkler, letter_order
 from panelforge.linkage import levels as lv
 from panelforge.linkage.blocking import Rule, block_on, block_sizes, candidate_pairs
+from panelforge.linkage.clusters import clusters
 from panelforge.linkage.model import (
     Model,
     deterministic_pairs,
@@ -26,7 +27,7 @@ from panelforge.linkage.model import (
     starting_model,
 )
 from panelforge.linkage.score import indexed_pairs, predict, score, term_frequencies
-from panelforge.operators.crosswalk import best_match
+from panelforge.operators.crosswalk import best_match, one_to_one_matching
 from panelforge.plans.derived import table, year_of
 from panelforge.plans.registry import query
 
@@ -108,7 +109,7 @@ def blocked_pairs_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def range_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = Rule(("customer", "priority"), lambda: F.col("yr_l") < F.col("yr_r"))
+    rule = Rule(("customer", "priority"), before=("yr", "yr"))
     pairs = candidate_pairs(_records(spark, sf_dir), None, "id", [rule], directed=True)
     return pairs.select("id_l", "id_r")
 
@@ -248,12 +249,13 @@ _SCORE_COLUMNS_SQL = """id_l, id_r, round(w, 6) AS match_weight,
     round(1 - 1 / (1 + pow(2, w)), 9) AS match_probability"""
 
 
-def _rounded(pairs: DataFrame) -> DataFrame:
+def _rounded(pairs: DataFrame, *carry: str) -> DataFrame:
     return pairs.select(
         "id_l",
         "id_r",
         F.round("match_weight", 6).alias("match_weight"),
         F.round("match_probability", 9).alias("match_probability"),
+        *carry,
     )
 
 
@@ -406,9 +408,85 @@ def fixed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("comparison", "gamma", "u")
 
 
-@query("em_model")
+_LEVELS = {"price": 3, "day": 3, "priority": 1, "season": 2}
+_TRAINING = {"by_priority": ("l.priority = r.priority", ("price", "day", "season")),
+             "by_year": ("l.yr = r.yr", ("price", "day", "priority"))}
+
+
+def _em_sql(run: str) -> str:
+    """Patterns of one training rule and EM as a recursive query over them."""
+    condition, free = _TRAINING[run]
+    cells = [(c, g) for c in free for g in range(_LEVELS[c], -1, -1)]
+
+    def at_level(c: str, value: str) -> str:
+        cases = " ".join(f"WHEN {g} THEN {value.format(c=c, g=g)}" for g in range(_LEVELS[c] + 1))
+        return f"CASE gamma_{c} {cases} ELSE 1.0 END"
+
+    starts = ", ".join(
+        f"{0.95 if g == _LEVELS[c] else 0.05 / _LEVELS[c]!r}::DOUBLE AS m_{c}_{g}" for c, g in cells
+    )
+    old = ", ".join(f"any_value(m_{c}_{g}) AS old_{c}_{g}" for c, g in cells)
+    new = ", ".join(
+        f"""greatest(coalesce(sum(match) FILTER (gamma_{c} = {g}), 0)
+            / sum(match) FILTER (gamma_{c} >= 0), 1e-12) AS m_{c}_{g}"""
+        for c, g in cells
+    )
+    names = ", ".join(f"m_{c}_{g}" for c, g in cells)
+    moved = ", ".join(f"abs(m_{c}_{g} - old_{c}_{g})" for c, g in cells)
+    like_m = " * ".join(at_level(c, "greatest(m_{c}_{g}, 1e-12)") for c in free)
+    like_u = " * ".join(
+        at_level(c, "greatest((SELECT u FROM shares WHERE comparison = '{c}' AND gamma = {g}), 1e-12)")
+        for c in free
+    )
+    gammas = ", ".join(f"gamma_{c}" for c in free)
+    return f"""
+    patterns_{run} AS MATERIALIZED (
+        SELECT *, {like_u} AS like_u FROM (
+            SELECT {gammas}, count(*)::DOUBLE AS n
+            FROM (SELECT {_GAMMA_SQL} FROM l JOIN r ON l.customer = r.customer AND {condition})
+            GROUP BY ALL)
+    ),
+    em_{run} AS (
+        SELECT 0 AS step, greatest((SELECT prior FROM start), 1e-6) AS prior, {starts},
+               1.0::DOUBLE AS change
+        UNION ALL
+        SELECT step, prior, {names}, greatest({moved})
+        FROM (
+            SELECT any_value(step) + 1 AS step, {old}, {new},
+                   least(greatest(sum(match) / sum(n), 1e-12), 1 - 1e-12) AS prior
+            FROM (SELECT *, n * prior * {like_m}
+                         / (prior * {like_m} + (1 - prior) * like_u) AS match
+                  FROM em_{run}, patterns_{run} WHERE change >= 1e-6)
+        ) WHERE step IS NOT NULL
+    ),
+    done_{run} AS (
+        UNPIVOT (SELECT {names} FROM em_{run} ORDER BY step DESC LIMIT 1)
+        ON {names} INTO NAME cell VALUE m
+    )"""
+
+
+@query(
+    "em_model",
+    f"""
+    {_U_SQL.replace("WITH", "WITH RECURSIVE", 1)},
+    start AS (
+        SELECT least(greatest((SELECT count(*) FROM l JOIN r ON l.customer = r.customer
+                                 AND l.yr = r.yr AND l.mon = r.mon) / 0.7
+                              / ((SELECT count(*) FROM l) * (SELECT count(*) FROM r)), 1e-12),
+                     1 - 1e-12) AS prior
+    ),
+    {_em_sql("by_priority")},
+    {_em_sql("by_year")},
+    trained AS (
+        SELECT cell, median(m) AS m
+        FROM (SELECT * FROM done_by_priority UNION ALL SELECT * FROM done_by_year) GROUP BY cell
+    )
+    SELECT comparison, gamma, round(m, 5) AS m, u
+    FROM shares JOIN trained ON cell = 'm_' || comparison || '_' || gamma
+    """,
+)
 def em_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole training: prior, u, EM per rule, combined (iterative, so checked by tests only)."""
+    """Whole training: prior, u, EM per rule until no level moves, combined."""
     left, right = _registers(spark, sf_dir)
     model = fit(
         _comparisons(),
@@ -421,7 +499,152 @@ def em_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return spark.createDataFrame(
         parameters(model), "comparison string, gamma int, m double, u double"
+    ).withColumn("m", F.round("m", 5))
+
+
+# --- links by text, by several rules, clusters and matchings --------------------------
+
+_PAGE_SQL = """
+    SELECT page_id AS id, url, split_part(split_part(url, '://', 2), '/', 1) AS host,
+           regexp_extract(url, '://[^/?#]*[.]([a-z]+)', 1) AS domain, length(html) AS size
+    FROM pages
+"""
+_TEXT_PRIOR = 0.0005
+_TEXT_FIXED = {
+    "url": {3: (0.5, 0.0001), 2: (0.3, 0.0005), 1: (0.15, 0.02), 0: (0.05, 0.9794)},
+    "size": {1: (0.7, 0.05), 0: (0.3, 0.95)},
+}
+
+
+def _page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"),
+        "url",
+        F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"),
+        F.regexp_extract("url", "://[^/?#]*[.]([a-z]+)", 1).alias("domain"),
+        F.length("html").cast("long").alias("size"),
+    )
+
+
+_TEXT_SCORED_SQL = f"""
+    WITH p AS ({_PAGE_SQL}),
+    g AS (
+        SELECT l.id AS id_l, r.id AS id_r,
+               CASE WHEN l.url = r.url THEN 3 WHEN jaro_winkler_similarity(l.url, r.url) >= 0.98 THEN 2
+                    WHEN jaro_winkler_similarity(l.url, r.url) >= 0.95 THEN 1 ELSE 0 END AS gamma_url,
+               CASE WHEN greatest(l.size, r.size) > 0
+                     AND abs(l.size - r.size) / greatest(l.size, r.size) < 0.05 THEN 1
+                    ELSE 0 END AS gamma_size
+        FROM p l JOIN p r ON l.domain = r.domain AND l.id < r.id
+    ),
+    scored AS (
+        SELECT *, CAST({repr(math.log2(_TEXT_PRIOR / (1 - _TEXT_PRIOR)))} + {" + ".join(
+            f"CASE gamma_{n} " + " ".join(
+                f"WHEN {g} THEN {math.log2(m / u)!r}" for g, (m, u) in by.items()) + " END"
+            for n, by in _TEXT_FIXED.items())} AS DOUBLE) AS w FROM g
     )
+"""
+
+
+@query(
+    "predict_text",
+    f"{_TEXT_SCORED_SQL} SELECT id_l, id_r, round(w, 6) AS match_weight FROM scored WHERE w >= -5",
+)
+def predict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide blocks in which only similar text can make a pair: an index on letters finds them."""
+    pages = _page_records(spark, sf_dir)
+    order = letter_order(pages, "url")
+    comparisons = (
+        lv.compare(
+            "url",
+            lv.null_level("url"),
+            lv.exact("url"),
+            lv.similar("url", 0.98, order=order),
+            lv.similar("url", 0.95, order=order),
+            lv.otherwise(),
+        ),
+        lv.compare("size", lv.null_level("size"), lv.within_share("size", 0.05), lv.otherwise()),
+    )
+    model = Model(
+        comparisons,
+        _TEXT_PRIOR,
+        {n: {g: m for g, (m, _) in by.items()} for n, by in _TEXT_FIXED.items()},
+        {n: {g: u for g, (_, u) in by.items()} for n, by in _TEXT_FIXED.items()},
+    )
+    found = predict(pages, None, "id", [block_on("domain")], model, -5.0)
+    return found.select("id_l", "id_r", F.round("match_weight", 6).alias("match_weight"))
+
+
+@query(
+    "predict_rules",
+    f"""
+    WITH {_REGISTERS_SQL},
+    g AS (
+        SELECT l.id AS id_l, r.id AS id_r, {_GAMMA_SQL},
+               CAST(CASE WHEN l.customer = r.customer THEN 0 ELSE 1 END AS INTEGER) AS match_key
+        FROM l JOIN r ON l.customer = r.customer OR (l.yr = r.yr AND l.mon = r.mon)
+    ),
+    scored AS (SELECT *, CAST({_weight_sql()} AS DOUBLE) AS w FROM g)
+    SELECT {_SCORE_COLUMNS_SQL}, match_key FROM scored WHERE w >= 5
+    """,
+)
+def predict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules, one of narrow and one of wide blocks; each forms pairs the cheaper way."""
+    left, right = _registers(spark, sf_dir)
+    rules = [block_on("customer"), block_on("yr", "mon")]
+    return _rounded(
+        predict(left, right, "id", rules, _fixed_model(tf=False), 5.0), "match_key"
+    )
+
+
+@query(
+    "link_clusters",
+    f"""
+    {_SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1)},
+    edges AS (
+        SELECT id_l AS a, id_r AS b FROM scored WHERE w >= 2
+        UNION ALL SELECT id_r, id_l FROM scored WHERE w >= 2
+    ),
+    reach AS (
+        SELECT id, id AS root FROM rec UNION SELECT b, root FROM reach JOIN edges ON a = id
+    )
+    SELECT id, min(root) AS cluster FROM reach GROUP BY id
+    """,
+)
+def link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders grouped by links of some weight; most stand alone."""
+    left, right = _registers(spark, sf_dir)
+    scored = predict(left, right, "id", [block_on("customer")], _fixed_model(tf=False), 0.5)
+    return clusters(scored, "id", "match_weight", 2.0, _records(spark, sf_dir))
+
+
+@query(
+    "one_to_one_matching",
+    f"""
+    {_SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1)},
+    rounds AS (
+        SELECT 0 AS step, id_l, id_r, round(w, 6) AS w, false AS taken FROM scored WHERE w >= 0.5
+        UNION ALL
+        SELECT step, id_l, id_r, w, best FROM (
+            SELECT *, bool_or(best) OVER (PARTITION BY id_l) OR bool_or(best) OVER (PARTITION BY id_r)
+                      AS gone
+            FROM (
+                SELECT step + 1 AS step, id_l, id_r, w,
+                       row_number() OVER (PARTITION BY id_l ORDER BY w DESC, id_r) = 1
+                       AND row_number() OVER (PARTITION BY id_r ORDER BY w DESC, id_l) = 1 AS best
+                FROM rounds WHERE NOT taken
+            )
+        ) WHERE best OR NOT gone
+    )
+    SELECT id_l, id_r, w AS match_weight FROM rounds WHERE taken
+    """,
+)
+def one_to_one_matching_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order in one link at most, heaviest links first."""
+    left, right = _registers(spark, sf_dir)
+    scored = predict(left, right, "id", [block_on("customer")], _fixed_model(tf=False), 0.5)
+    scored = scored.withColumn("match_weight", F.round("match_weight", 6))
+    return one_to_one_matching(scored, "id_l", "id_r", "match_weight")
 
 
 # --- pairwise similarities ------------------------------------------------------------

@@ -20,7 +20,19 @@ from panelforge.linkage.model import (
     total_pairs,
     train_m,
 )
-from panelforge.linkage.score import index_levels, indexed_pairs, predict, score
+from panelforge.functions.similarity import _jaro_winkler, letter_order
+from panelforge.linkage import score as scoring
+from panelforge.linkage.blocking import range_join
+from panelforge.linkage.clusters import clusters
+from panelforge.linkage.score import (
+    KeyIndex,
+    index_levels,
+    indexed_pairs,
+    possible,
+    predict,
+    score,
+)
+from panelforge.operators.crosswalk import one_to_one_matching
 
 
 def people(spark, n=120, seed=3, shift=0):
@@ -98,6 +110,7 @@ def test_block_sizes_count_pairs(spark):
         lambda: lv.within_difference("year", 2),
         lambda: lv.any_of(lv.exact("year"), lv.within_km("lat", "lon", 5.0)),
         lambda: lv.all_of(lv.similar("name", 0.9), lv.exact("year")),
+        lambda: lv.similar("name", 0.9),
     ],
 )
 def test_index_keys_find_every_pair_of_a_level(spark, make):
@@ -233,3 +246,158 @@ def test_fixed_levels_stay_fixed(spark):
         [block_on("country", "name")],
     )
     assert (model.m["year"][1], model.u["year"][1]) == (0.9999, 0.0001)
+
+
+def texts(spark, n=150, seed=1):
+    """Names with small changes: swapped, doubled and dropped letters, other first letters."""
+    rng = random.Random(seed)
+    stems = ["kraftwerk nord", "heizwerk süd", "central", "a", "ab", "mmmmmm", "zeche zollverein"]
+    data = [("none", None), ("empty", ""), ("long", "kraftwerk " * 30)]
+    for i in range(n):
+        name = list(rng.choice(stems))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(name))
+            name[k] = rng.choice(["", name[k] * 2, rng.choice("abkz"), name[-1]])
+        data.append((f"t{i:04d}", "".join(name)))
+    return spark.createDataFrame([(i, 1, t) for i, t in data], "id string, k int, name string")
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8, 0.7, 0.4])
+def test_letter_keys_find_every_similar_pair(spark, threshold):
+    df = texts(spark)
+    rows = [(r.id, r.name.encode()) for r in df.collect() if r.name is not None]
+    expected = sorted(
+        tuple(sorted((a, b)))
+        for (a, x), (b, y) in itertools.combinations(rows, 2)
+        if _jaro_winkler(x, y) >= threshold
+    )
+    for order in (None, letter_order(df, "name")):
+        level = lv.similar("name", threshold, order=order)
+        comparison = lv.compare("x", level, lv.otherwise())
+        pairs = indexed_pairs(df, None, "id", block_on("k"), [level])
+        assert ids(lv.with_gammas(pairs, [comparison]).where("gamma_x = 1")) == expected
+
+
+def text_model():
+    return Model(
+        (lv.name_match("name", (0.95, 0.9)),), 0.01,
+        {"name": {3: 0.7, 2: 0.2, 1: 0.05, 0: 0.05}},
+        {"name": {3: 0.001, 2: 0.002, 1: 0.01, 0: 0.987}},
+    )
+
+
+def test_few_pairs_reach_the_text_function(spark):
+    df, model = texts(spark), text_model()
+    full = candidate_pairs(df, None, "id", [block_on("k")])
+    expected = ids(score(full, model).where("match_weight >= 0"))
+    lettered, _ = scoring._with_both_letters(df, None, model)
+    hopeful = possible(candidate_pairs(lettered, None, "id", [block_on("k")]), model, 0.0)
+    assert set(expected) <= set(ids(hopeful)) and expected
+    assert hopeful.count() < full.count() / 3
+    assert ids(predict(df, None, "id", [block_on("k")], model, 0.0)) == expected
+
+
+def test_index_or_block_by_number_of_pairs(spark):
+    df, model = texts(spark), text_model()
+    near = [level for _, _, level in index_levels(model, 0.0)]
+    index = KeyIndex(df, None, block_on("k"), near)
+    formed = tiled_join(index.left.withColumn("_key", F.explode("_keys")),
+                        index.right.withColumn("_key", F.explode("_keys")), index.on, "id")
+    assert index.pairs_formed() == formed.count()
+    # An index on a value that half of all records have is worse than the blocks themselves.
+    two = df.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
+    rules = [block_on("k", "half"), block_on("k")]
+    for levels in ([lv.exact("half"), lv.exact("k")], near):
+        pairs = scoring.planned_pairs(two, None, "id", rules, levels)
+        block = candidate_pairs(two, None, "id", rules)
+        reach = lv.compare("x", lv.any_of(*levels), lv.otherwise())
+        got, want = (lv.with_gammas(p, [reach]).where("gamma_x = 1") for p in (pairs, block))
+        keyed = ["id_l", "id_r", "match_key"]
+        assert sorted(got.select(keyed).collect()) == sorted(want.select(keyed).collect())
+
+
+def test_levels_that_most_pairs_reach_are_no_index(spark):
+    model = Model(
+        (lv.exact_match("kind"), lv.exact_match("year")), 0.01,
+        {"kind": {1: 0.99, 0: 0.01}, "year": {1: 0.9, 0: 0.1}},
+        {"kind": {1: 0.5, 0: 0.5}, "year": {1: 0.001, 0: 0.999}},
+    )
+    assert [(name, g) for name, g, _ in index_levels(model, 0.0)] == [("year", 1)]
+
+
+def test_range_rules_form_few_pairs_in_vain(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 1, 2]), rng.randrange(8), rng.random()) for i in range(400)]
+    rows += [(1000 + i, None, 1, 0.5) for i in range(3)] + [(2000 + i, 1, None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, k int, year int, size double")
+    for column, most in (("year", 1.0), ("size", 1.1)):
+        want = sorted(
+            (a.id, b.id)
+            for a, b in itertools.permutations(df.collect(), 2)
+            if None not in (a.k, a[column], b[column]) and a.k == b.k and a[column] < b[column]
+        )
+        rule = Rule(("k",), before=(column, column))
+        pairs = candidate_pairs(df, None, "id", [rule], directed=True)
+        assert ids(pairs) == want
+        joined = range_join(df, df, ["k"], (column, column), "id", tile_rows=50)
+        assert ids(joined) == want
+        met = range_join(df, df, ["k"], (column, column), "id", tile_rows=50, check=False)
+        assert len(want) <= met.count() <= most * len(want)
+
+
+def test_clusters_of_hubs_chains_and_lone_records(spark):
+    rng = random.Random(5)
+    pairs = [(0, k, 5.0) for k in range(1, 300)] + [(k, k + 1, 3.0) for k in range(1000, 1080)]
+    pairs += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400), rng.random() * 4) for _ in range(300)]
+    pairs += [(None, 3, 9.0), (5, 2999, None), (7, 7, 9.0), (1080, 1000, 3.0)]
+    frame = spark.createDataFrame(pairs, "id_l long, id_r long, w double")
+    records = spark.range(3000)
+    root = {k: k for k in range(3000)}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b, w in pairs:
+        if a is not None and w is not None and w >= 2:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {k: find(k) for k in root}
+    assert {r.id: r.cluster for r in clusters(frame, "id", "w", 2.0, records, 4).collect()} == want
+    linked = {r.id: r.cluster for r in clusters(frame, "id", "w", 2.0).collect()}
+    assert linked.items() <= want.items() and {0, 299, 1080} <= set(linked) and 2999 not in linked
+    assert clusters(frame.limit(0), "id", "w", 2.0).count() == 0
+
+
+def test_matching_is_the_greedy_one(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(40), rng.randrange(40), rng.randrange(6) / 2) for _ in range(250)]
+    pairs += [(100 + k, 100 + k + d, 50.0 - 2 * k - d) for k in range(20) for d in (0, 1)]
+    pairs += [(None, 1, 9.0), (1, None, 9.0), (500, 500, None), pairs[0]]
+    frame = spark.createDataFrame(pairs, "l long, r long, w double")
+    used_l, used_r, want = set(), set(), []
+    whole = {p for p in pairs if None not in p}
+    for a, b, w in sorted(whole, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in used_l and b not in used_r:
+            used_l.add(a)
+            used_r.add(b)
+            want.append((a, b, w))
+    got = one_to_one_matching(frame, "l", "r", "w")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert one_to_one_matching(frame.limit(0), "l", "r", "w").count() == 0
+
+
+def test_training_raises_unless_settled(spark):
+    left, right = people(spark), people(spark, seed=4, shift=500)
+    rule = block_on("country", "year")
+    pairs = candidate_pairs(left, right, "id", [rule])
+    with pytest.raises(RuntimeError, match="settled"):
+        train_m(starting_model(comparisons()), pairs, rule, iterations=2)
+
+
+def test_one_wide_bucket_of_random_pairs_is_dealt_in_tiles(spark):
+    left = spark.range(5000)
+    pairs = random_pairs(left, None, "id", max_pairs=1e9)
+    assert "_tile_l" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 5000 * 4999 / 2
