@@ -677,7 +677,9 @@ _AS_OF = "2000-06-30"
     "typed_csv_source",
     f"""
     SELECT CAST(o_orderkey AS INTEGER) AS fileId,
-           CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS envelopeUrl,
+           CASE WHEN o_orderkey % 11 = 0 THEN NULL
+                WHEN o_orderkey % 5 = 0 THEN o_orderpriority || chr(10) || '"second", line'
+                ELSE o_orderpriority END AS envelopeUrl,
            CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS amount,
            CASE WHEN o_orderkey % 13 = 0
                   OR strftime(o_orderdate, '%m/%d/%y %H:%M:%S') IN ({_NA_LIST}) THEN NULL
@@ -688,11 +690,12 @@ _AS_OF = "2000-06-30"
     """,
 )
 def typed_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentinels, bad numbers and two-digit years, through the typed reader and its cache."""
+    """Sentinels, bad numbers, line breaks in fields and two-digit years, read back typed."""
     key = F.col("o_orderkey")
     raw = table(spark, sf_dir, "orders").select(
         key.cast("string").alias("fileId"),
         F.when(key % 11 == 0, F.lit("CONFIDENTIAL"))
+        .when(key % 5 == 0, F.concat("o_orderpriority", F.lit('\n"second", line')))
         .otherwise(F.col("o_orderpriority"))
         .alias("envelopeUrl"),
         F.when(key % 7 == 0, F.lit("about 5"))
@@ -705,7 +708,7 @@ def typed_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("not declared").alias("extra"),
     )
     path = f"{stage_path(spark, 'orders')}.csv"
-    raw.write.csv(path, header=True)
+    raw.write.csv(path, header=True, escape='"')
     schema = T.StructType.fromDDL(
         "fileId int, envelopeUrl string, amount double, dateSubmitted timestamp_ntz, done boolean"
     )

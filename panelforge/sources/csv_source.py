@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import json
 from collections.abc import Sequence
 from functools import reduce
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.constants import DATE_FORMAT
+from panelforge.sources.csv_records import csv_records
 
 _FINGERPRINT = "panelforge.schema"
 
@@ -82,19 +85,35 @@ def _fingerprint(
     return hashlib.sha256(content.encode()).hexdigest()
 
 
+def _column_names(header: str) -> tuple[str, ...]:
+    """Names of a header record; blank and repeated ones are told apart by their place."""
+    names = next(csv.reader(io.StringIO(header, newline="")))
+    lower = [n.lower() for n in names]
+    return tuple(
+        f"_c{k}" if not n else f"{n}{k}" if lower.count(n.lower()) > 1 else n
+        for k, n in enumerate(names)
+    )
+
+
 def _read_text(spark: SparkSession, files: list[str], multi_line: bool) -> list[DataFrame]:
-    """The files as text columns, one table per header; columns go by name in every file."""
-    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    """The files as text columns, one table per header; columns go by name in every file.
+
+    All headers come from one job, and large files are read by many tasks.
+    """
+    records = csv_records(spark, files, multi_line)
+    first = (F.col("start") == 0) & (F.col("at") == 0)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        header = tuple(spark.read.options(**options).csv(file).columns)
-        by_header.setdefault(header, []).append(file)
+    for row in records.where(first).select("file", "text").collect():
+        by_header.setdefault(_column_names(row.text), []).append(row.file)
     tables = []
-    for header, members in by_header.items():
-        text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        # a file whose header is not the one its group has raises an error
-        reader = spark.read.schema(text).options(**options, enforceSchema=False)
-        tables.append(reader.csv(members))
+    for header, members in sorted(by_header.items()):
+        named = records.where(~first & (F.col("text") != ""))
+        if len(by_header) > 1:
+            listed = spark.createDataFrame([(m,) for m in members], "file string")
+            named = named.join(listed, "file", "left_semi")
+        ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in header)
+        parsed = F.from_csv("text", ddl, {"escape": '"', "multiLine": "true"})
+        tables.append(named.select(parsed.alias("r")).select("r.*"))
     return tables
 
 
@@ -117,8 +136,7 @@ def read_typed_csv(
     pruning and pushdown. A copy is rebuilt if it is incomplete, was made under other column
     types or conventions, or if a file of the source was added, removed or changed since.
 
-    With multi_line a field may hold line breaks and a file is read by one task; without, large
-    files are split.
+    With multi_line a quoted field may hold line breaks. Large files are split either way.
     """
     if not path.endswith(".csv"):
         raise ValueError(f"Only CSV sources are supported: {path}")

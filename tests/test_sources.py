@@ -1,6 +1,8 @@
 """Typed CSV source, catalogue, sinks and stages."""
 
+import csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from panelforge.constants import DATASET_VERSIONS, NA_VALUES, Level
 from panelforge.sources import csv_source, sinks
 from panelforge.sources.catalog import table_schema
+from panelforge.sources.csv_records import csv_records, ends_in_quotes
 from panelforge.sources.plant_tables import PLANT_TABLES
 from panelforge.sources.register_tables import REGISTER_TABLES
 from panelforge.sources.reporting_tables import REPORTING_TABLES
@@ -177,3 +180,40 @@ def test_all_typed_tables_have_the_documented_columns():
             assert name in text
             assert all(field.name in text for field in schema)
             assert len({f.name.lower() for f in schema}) == len(schema)
+
+
+def test_one_large_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    fields = ["", "plain", 'say "hi"', "a,b", "two\nlines", "\n\n", 'end"\n"', "x\r\ny", "é\n,"]
+    rows = [(str(k), rng.choice(fields), rng.choice(fields) * rng.randrange(1, 9)) for k in range(3000)]
+    file = tmp_path / "large.csv"
+    with open(file, "w", newline="") as handle:
+        writer = csv.writer(handle)
+        writer.writerow(["id", "a\nb", "c"])
+        writer.writerows(rows[:1500])
+        handle.write('5" pipe,a " quote,plain\r\n\r\n')  # quotes inside bare fields, an empty line
+        writer.writerows(rows[1500:])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = csv_records(spark, [str(file)])
+        assert records.rdd.getNumPartitions() > 8
+        assert records.count() == 3003  # the header, all rows, and the empty line
+        schema = T.StructType.fromDDL("id string, `a\nb` string, c string")
+        got = csv_source.read_typed_csv(spark, str(file), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [tuple(v or None for v in row) for row in rows] + [('5" pipe', 'a " quote', "plain")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_states_of_lines():
+    opens = ['a,"b', '"', '"a""', 'a,b"c,"d', '"a" x,"']
+    closed = ["", "a,b", '","', 'a"b,c', '"a"', '""', '"a""b"', 'x" y,"z"', '"a" b"c,d']
+    assert all(ends_in_quotes(line, False) for line in opens)
+    assert not any(ends_in_quotes(line, False) for line in closed)
+    assert [ends_in_quotes(x, True) for x in ("", "a", 'b",c', 'b""', 'b","', '"', '",""')] == [
+        True, True, False, True, True, False, False
+    ]
