@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from panelforge.plans import linking, panels, registers, relational, repairs  # noqa: F401
+from panelforge.plans import (  # noqa: F401
+    linking,
+    panels,
+    registers,
+    relational,
+    repairs,
+    typed_tables,
+)
 from panelforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
