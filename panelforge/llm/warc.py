@@ -29,6 +29,10 @@ from panelforge.sources.staging import stage, stage_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
+#: Compressed bytes that a task reads back.
+TASK_BYTES = 16 << 20
+#: Places in which rows of one payload meet.
+SALTS = 64
 LEVEL = 3
 #: Pages carry no fetch time; a caller who knows one passes it.
 DATE = "1970-01-01T00:00:00Z"
@@ -184,16 +188,22 @@ def with_first(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: i
         F.col(url).alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    size = F.octet_length("payload")
-    repeated = stage(
-        rows.where(size >= min_bytes)
-        .groupBy("digest")
+    # A payload that very many pages share (the empty one) meets in SALTS places, not in one.
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    rows = rows.withColumn("salt", salt)
+    seen = (
+        rows.where(F.octet_length("payload") >= min_bytes)
+        .groupBy("digest", "salt")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    )
+    repeated = (
+        seen.groupBy("digest")
+        .agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
         .where((F.col("n") > 1) & F.col("first_id").isNotNull())
-        .drop("n"),
-        "payloads",
+        .drop("n")
     )
-    return rows.join(repeated, "digest", "left").select(
+    places = stage(seen.select("digest", "salt").join(repeated, "digest"), "payloads")
+    return rows.join(places, ["digest", "salt"], "left").select(
         "page_id",
         "url",
         "payload",
@@ -254,37 +264,30 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return table
 
 
-def read_record(entry) -> Record:
-    """One record through its index row, by one ranged read."""
+def read_frame(entry) -> bytes:
+    """The plain bytes of the frame that an index row names, by one ranged read."""
     import zstandard
 
     system, inner = _filesystem(entry["bundle"])
     with system.open_input_file(inner) as source:
         frame = source.read_at(entry["frame_bytes"], entry["frame_start"])
-    plain = zstandard.ZstdDecompressor().decompress(frame)
-    return parse_record(plain, entry["record_offset"])[0]
+    return zstandard.ZstdDecompressor().decompress(frame)
 
 
-def _bundle_records(path: str) -> Iterator[Record]:
-    """All records of a bundle, frame by frame."""
-    import zstandard
+def read_record(entry) -> Record:
+    """One record through its index row."""
+    return parse_record(read_frame(entry), entry["record_offset"])[0]
 
-    system, inner = _filesystem(path)
-    unpack = zstandard.ZstdDecompressor()
-    with system.open_input_file(inner) as source:
-        size = source.size()
-        frames = struct.unpack("<IBI", source.read_at(9, size - 9))[0]
-        tail = 9 + 8 * frames
-        for start, packed, plain_bytes in seek_table(source.read_at(tail, size - tail)):
-            plain = unpack.decompress(source.read_at(packed, start), max_output_size=plain_bytes)
-            at = 0
-            while at < len(plain):
-                record, at = parse_record(plain, at)
-                yield record
-
-
-def read_archive(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """All records of the bundles that the index names, one task per bundle."""
+
+def read_archive(
+    index: DataFrame, with_payload: bool = False, task_bytes: int = TASK_BYTES
+) -> DataFrame:
+    """All records that the index names, through their frames' ranges.
+
+    Index rows are dealt by frame to a number of tasks that follows from the frames' bytes, so
+    that adaptive execution does not gather the short index in one task. A task opens each frame
+    once, by a ranged read, and finds its records at their offsets.
+    """
     schema = (
         "page_id long, url string, record_type string, payload_bytes long, "
         "payload_digest string, refers_to long"
@@ -296,19 +299,30 @@ def read_archive(index: DataFrame, with_payload: bool = False) -> DataFrame:
             frame = pd.DataFrame(rows, columns=Record._fields)
             return frame.astype({"page_id": "Int64", "refers_to": "Int64"})[columns]
 
+        frame, plain = None, b""
         for batch in batches:
-            for path in batch["bundle"]:
-                held, total = [], 0
-                for record in _bundle_records(path):
-                    held.append(record if with_payload else record._replace(payload=b""))
-                    total += len(held[-1].payload) + 200
-                    if total > 8 << 20:
-                        yield framed(held)
-                        held, total = [], 0
-                if held:
+            held, total = [], 0
+            for entry in batch.to_dict("records"):
+                if (entry["bundle"], entry["frame_start"]) != frame:
+                    frame, plain = (entry["bundle"], entry["frame_start"]), read_frame(entry)
+                record = parse_record(plain, entry["record_offset"])[0]
+                held.append(record if with_payload else record._replace(payload=b""))
+                total += len(held[-1].payload) + 200
+                if total > 8 << 20:
                     yield framed(held)
-
-    return index.select("bundle").distinct().mapInPandas(read, schema)
+                    held, total = [], 0
+            if held:
+                yield framed(held)
+
+    frames = index.groupBy("bundle", "frame_start").agg(F.max("frame_bytes").alias("bytes"))
+    count, size = frames.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    workers = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, workers), -(-size // task_bytes))
+    return (
+        index.repartition(tasks, "bundle", "frame_start")
+        .sortWithinPartitions("bundle", "frame_start", "record_offset")
+        .mapInPandas(read, schema)
+    )
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -63,6 +63,22 @@ def test_records_are_found_by_one_ranged_read(spark):
     assert bytes(with_payload.payload).decode() == html[9]
 
 
+def test_many_bundles_are_read_by_many_tasks(spark):
+    rows = [(k, f"http://a/{k}", f"<p>{k % 40}</p>" if k % 3 else "") for k in range(600)]
+    pages = spark.createDataFrame(rows, edge.PAGES)
+    index = warc.write_archive(
+        pages, stage_path(spark, "warc"), frame_bytes=1000, bundle_bytes=1000
+    )
+    assert index.select("bundle").distinct().count() >= 50
+    back = warc.read_archive(index, task_bytes=2000)
+    assert back.rdd.getNumPartitions() >= 10
+    got = [
+        (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+        for r in back.collect()
+    ]
+    assert sorted(got, key=edge.key) == brute(rows)
+
+
 def test_bundles_are_plain_zstandard(spark):
     import zstandard
 
