@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import anomaly, panel, quantile
+from panelforge.operators.quantile_sketch import merge, sketch, sketch_quantiles
 from panelforge.plans.derived import (
     ANNUAL_SQL,
     CORRUPT_SQL,
@@ -20,6 +21,7 @@ from panelforge.plans.derived import (
     year_of,
 )
 from panelforge.plans.registry import query
+from panelforge.sources.staging import stage
 
 _UNIT_CODE = ["unit", "code"]
 _BALANCED_DAILY_SQL = balanced_sql(DAILY_SQL, "day", _UNIT_CODE)
@@ -260,6 +262,52 @@ def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("code", "yr", *[F.round(q, 6).alias(q) for q in ("q95", "q50", "q05")])
 
 
+@query(
+    "quantile_sketch",
+    """
+    WITH v AS (
+        SELECT l_returnflag AS code, CAST(year(l_shipdate) AS BIGINT) AS yr, l_extendedprice AS v,
+               ceil(ln(l_extendedprice) / ln(1.01 / 0.99)) AS bucket
+        FROM lineitem WHERE l_extendedprice > 0
+    ),
+    counted AS (
+        SELECT code, yr, bucket, sum(count(*)) OVER (PARTITION BY code, yr ORDER BY bucket) AS upto,
+               sum(count(*)) OVER (PARTITION BY code, yr) AS total
+        FROM v GROUP BY code, yr, bucket
+    ),
+    approximate AS (
+        SELECT code, yr, 2 * pow(1.01 / 0.99, min(bucket) FILTER (upto >= ceil(total * 0.95)))
+                         / (1.01 / 0.99 + 1) AS q95,
+               2 * pow(1.01 / 0.99, min(bucket) FILTER (upto >= ceil(total * 0.5)))
+                         / (1.01 / 0.99 + 1) AS q50
+        FROM counted GROUP BY code, yr
+    ),
+    exact AS (
+        SELECT code, yr, quantile_disc(v, 0.95) AS e95, quantile_disc(v, 0.5) AS e50
+        FROM v GROUP BY code, yr
+    )
+    SELECT code, yr, round(q95, 6) AS q95, round(q50, 6) AS q50
+    FROM approximate JOIN exact USING (code, yr)
+    WHERE abs(q95 - e95) <= 0.010001 * e95 AND abs(q50 - e50) <= 0.010001 * e50
+    """,
+)
+def quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from stored states of two parts of the table, merged.
+
+    The SQL has only those that lie within the error of the exact ones, so all must.
+    """
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("code"), year_of("l_shipdate").alias("yr"), "l_extendedprice",
+        (F.col("l_shipdate") < "1997-01-01").alias("early"),
+    )
+    states = [
+        stage(sketch(rows.where(part), "l_extendedprice", ["code", "yr"]), "sketch")
+        for part in (F.col("early"), ~F.coalesce("early", F.lit(False)))
+    ]
+    found = sketch_quantiles(merge(states), {"q95": 0.95, "q50": 0.5})
+    return found.select("code", "yr", *[F.round(q, 6).alias(q) for q in ("q95", "q50")])
+
+
 def outliers_sql(
     source: str,
     ref: str,

@@ -12,11 +12,12 @@ from panelforge.functions import text as names
 from panelforge.linkage.blocking import block_on, candidate_pairs
 from panelforge.operators import crosswalk, hierarchy, versions
 from panelforge.operators.joins import rows_not_listed, union_distinct_by_name
+from panelforge.operators.numbering import with_dense_ids
 from panelforge.operators.panel import fill_from_latest
 from panelforge.plans.derived import table, year_of
 from panelforge.plans.registry import query
 from panelforge.sources import csv_source, sinks
-from panelforge.sources.staging import stage_path
+from panelforge.sources.staging import NamedStages, stage_path
 
 
 def _text_id(prefix: str, column: str | Column) -> Column:
@@ -734,10 +735,26 @@ def ordered_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parquet_stage", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def parquet_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parquet sink partitioned by a column, and source."""
+    """Parquet sink partitioned by a column, and source; the named relation is made once."""
     path = stage_path(spark, "supplier")
     sinks.write_parquet(table(spark, sf_dir, "supplier"), path, ["s_nationkey"])
-    return spark.read.parquet(path)
+    named = NamedStages(spark)
+    named.table(spark.read.parquet(path), "supplier")
+    return named.table(spark.read.parquet(path), "supplier")
+
+
+@query(
+    "surrogate_ids",
+    """
+    SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS surrogate
+    FROM orders
+    """,
+)
+def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered by date without gathering them in one task."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    numbered = with_dense_ids(orders, ["o_orderdate", "o_orderkey"], "surrogate")
+    return numbered.select("o_orderkey", "surrogate")
 
 
 # --- text -----------------------------------------------------------------------------

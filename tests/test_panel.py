@@ -1,5 +1,7 @@
 """Panel operators on hand-worked cases."""
 
+import math
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,36 @@ def test_dense_vectors(spark):
         ("A", [7.0, 0.0, 0.0, 2.0], 9.0),
         ("B", [0.0, 0.0, 0.0, 0.0], 0.0),
     ]
+
+
+def test_dense_ids_have_no_gaps(spark):
+    from panelforge.operators.numbering import with_dense_ids
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(5)]), k) for k in range(2000)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "a int, k long").repartition(7)
+    got = with_dense_ids(frame, ["a", "k"], "n", first=0)
+    wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [(*r, n) for n, r in enumerate(wanted)]
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert with_dense_ids(frame.limit(0), ["a"], "n").count() == 0
+
+
+def test_sketches_merge_and_keep_their_error(spark):
+    from panelforge.operators.quantile_sketch import merge, sketch, sketch_quantiles
+
+    rng = random.Random(8)
+    values = [rng.lognormvariate(0, 4) for _ in range(3000)] + [float("inf")] * 2
+    values += [0.0, -1.0, float("nan"), None]
+    frame = spark.createDataFrame([(k % 2, k % 3, v) for k, v in enumerate(values)], "g int, p int, v double")
+    for error in (0.01, 0.1):
+        parts = [sketch(frame.where(F.col("p") == p), "v", ["g"], error) for p in range(3)]
+        shares = {"low": 0.001, "mid": 0.5, "high": 0.99, "top": 1.0}
+        got = sketch_quantiles(merge(parts), shares, error).collect()
+        assert len(got) == 2
+        for row in got:
+            own = sorted(v for k, v in enumerate(values) if k % 2 == row.g and v is not None and v > 0)
+            for name, q in shares.items():
+                exact = own[max(1, math.ceil(q * len(own))) - 1]
+                assert row[name] == exact or abs(row[name] - exact) <= exact * error * (1 + 1e-9)

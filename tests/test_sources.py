@@ -16,7 +16,7 @@ from panelforge.sources.csv_records import csv_records, ends_in_quotes
 from panelforge.sources.plant_tables import PLANT_TABLES
 from panelforge.sources.register_tables import REGISTER_TABLES
 from panelforge.sources.reporting_tables import REPORTING_TABLES
-from panelforge.sources.staging import shared_folder, stage
+from panelforge.sources.staging import NamedStages, shared_folder, stage
 
 DDL = "id int, name string, amount double, at timestamp_ntz, ok boolean"
 CSV = """id,name,amount,at,ok,extra
@@ -217,3 +217,32 @@ def test_states_of_lines():
     assert [ends_in_quotes(x, True) for x in ("", "a", 'b",c', 'b""', 'b","', '"', '",""')] == [
         True, True, False, True, True, False, False
     ]
+
+
+def test_named_relations_are_written_once(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.range(100).withColumn("v", F.col("id") % 7).write.parquet(source)
+
+    def relation(least):
+        return spark.read.parquet(source).where(F.col("v") >= least).groupBy("v").count()
+
+    first, second = (NamedStages(spark, str(tmp_path / "named")) for _ in range(2))
+    assert first.table(relation(3), "counts").count() == 4
+    assert first.table(relation(3), "counts").count() == 4  # found again, by a later run too
+    assert second.table(relation(3), "counts").count() == 4
+    assert (len(first.written), len(second.written)) == (1, 0)
+    assert second.table(relation(4), "counts").count() == 3  # another plan
+    spark.range(5).withColumn("v", F.lit(9).cast("long")).write.mode("append").parquet(source)
+    assert second.table(relation(3), "counts").count() == 5  # a changed source
+    wide = [F.lit(k).alias(f"c{k}") for k in range(60)]
+    for last in (1, 2):  # plans that differ only where their text would be cut
+        got = second.table(spark.read.parquet(source).select(*wide, F.lit(last).alias("z")), "wide")
+        assert got.first().z == last
+    rows = spark.createDataFrame([(1,)], "a int")
+    for _ in range(2):  # the content of such rows cannot be told from the plan
+        assert second.table(rows, "rows").count() == 1
+    assert len(second.written) == 6
+    gone = second.written[0]
+    second.drop()
+    assert not second.written and not second._exists(gone)
+    assert first._exists(first.written[0])
