@@ -52,8 +52,13 @@ def suffixed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in df.columns])
 
 
-def _counts(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+def _tiles(count: str, tile_rows: int, name: str) -> Column:
+    return F.greatest(F.ceil(F.coalesce(count, F.lit(0)) / tile_rows), F.lit(1)).alias(name)
+
+
+def _hot_side(df: DataFrame, keys: Sequence[str], tile_rows: int, name: str) -> DataFrame:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > tile_rows).select(*keys, _tiles("_n", tile_rows, name))
 
 
 def hot_blocks(counts: DataFrame, keys: Sequence[str], tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -62,14 +67,9 @@ def hot_blocks(counts: DataFrame, keys: Sequence[str], tile_rows: int = TILE_ROW
     At most rows / tile_rows entries. They are stored, so that their measured size lets them be
     broadcast and records move by tile only.
     """
-
-    def tiles(side: str) -> Column:
-        return F.ceil(F.coalesce(f"n{side}", F.lit(0)) / tile_rows).alias(f"_tiles{side}")
-
-    beyond = (F.col("n_l") > tile_rows) | (F.col("n_r") > tile_rows)
-    wide = counts.where(F.coalesce(beyond, F.lit(False)))
-    at_least_one = [F.greatest(tiles(s), F.lit(1)).alias(f"_tiles{s}") for s in ("_l", "_r")]
-    return stage(wide.select(*keys, *at_least_one), "hot-blocks")
+    wide = counts.where((F.col("n_l") > tile_rows) | (F.col("n_r") > tile_rows))
+    tiles = [_tiles(f"n{side}", tile_rows, f"_tiles{side}") for side in ("_l", "_r")]
+    return stage(wide.select(*keys, *tiles), "hot-blocks")
 
 
 def tiled_join(
@@ -89,8 +89,11 @@ def tiled_join(
     """
     keys = list(keys)
     if hot is None:
-        counts = _counts(left, keys, "n_l").join(_counts(right, keys, "n_r"), keys, "outer")
-        hot = hot_blocks(counts, keys, tile_rows)
+        sides = [
+            _hot_side(df, keys, tile_rows, f"_tiles{side}")
+            for df, side in ((left, "_l"), (right, "_r"))
+        ]
+        hot = stage(sides[0].join(sides[1], keys, "outer"), "hot-blocks")
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
         tile = F.pmod(F.xxhash64(unique_id), F.coalesce(f"_tiles{own}", F.lit(1)))
