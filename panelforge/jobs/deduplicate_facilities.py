@@ -97,7 +97,7 @@ def comparisons() -> tuple[lv.Comparison, ...]:
 
 
 def spec() -> LinkageSpec:
-    follows = Rule(("countryCode",), lambda: F.col("year_last_l") < F.col("year_first_r"))
+    follows = Rule(("countryCode",), before=("year_last", "year_first"))
     return LinkageSpec(
         comparisons=comparisons(),
         rules=(follows,),

@@ -3,6 +3,7 @@
 from panelforge.plans import (  # noqa: F401
     linking,
     panels,
+    records,
     registers,
     relational,
     repairs,
