@@ -1,13 +1,25 @@
 """Main text of web pages by wrapper induction over pages of the same host.
 
-Pages of a host are dealt into groups of about `GROUP` pages, so a host with a third of all
-pages spreads over many tasks. In a group every page's block tree is aligned with one reference
-page by simple tree matching (the heaviest order-preserving matching of children, equal tags
-only). A reference node whose text is the same on nearly all different pages belongs to the
-template; one whose text varies is a content slot. The text of a page is what stands in slots
-or in nodes the reference lacks, inside the article if the page marks one, without elements
-that are boilerplate by tag, role or name (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments).
+Pages of a host are dealt into groups of about `GROUP` pages and `GROUP_BYTES` bytes, so a host
+with a third of all pages spreads over many tasks. In a group every page's block tree is aligned
+with one reference page by simple tree matching (the heaviest order-preserving matching of
+children, equal tags only). A reference node whose content is the same on nearly all different
+pages belongs to the template; one whose content varies is a content slot. The text of a page is
+what stands in slots or in nodes the reference lacks, inside the article if the page marks one.
+
+Copied pages must not make their text a template. Outside articles, pages of equal content count
+once. Inside articles only pages count whose articles differ elsewhere: an article counts if it
+shares less than half of its different word pairs with each one counted before.
+
+Elements that hold no article text by their tag (menus, footers, sidebars, forms, scripts,
+styles, pop-ups), role or name go in any case, since their text may vary: adverts and reader
+comments do. A name counts only if the whole class or id is made of words for boilerplate
+(`cookie-notice`, `site-footer`), so `entry-header`, `ad-hoc` or `share-prices` stay.
+
+The matching is exact at every size. A tree's weight against another depends on their shapes
+(tags only), so equal shapes are numbered once and each pair of different shapes is weighed once;
+equal shapes at the ends of two child lists are matched at once (no matching weighs more), and
+the rest by rows of the usual table in linear memory, split in halves to find the pairs.
 
 White space inside a block becomes one space, blocks are joined by a line feed in page order.
 Null and empty pages give an empty text. Broken markup is closed where a browser would close
@@ -21,6 +33,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +46,11 @@ GROUP = 128
 #: Share of different pages with equal text that makes a template node, and pages needed.
 CONSTANT = 0.8
 LEAST_PAGES = 5
-#: Child lists whose product is larger are matched in order, without the full table.
-TABLE = 10_000
+GROUP_BYTES = 8 << 20
+#: An article that shares this much of its word pairs with another is no further evidence.
+ALIKE = 0.5
+#: Weights of pairs of shapes that are kept between pages.
+KEPT_WEIGHTS = 1_000_000
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -44,18 +60,26 @@ _INLINE = frozenset(
     "ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _DROPPED = frozenset(
-    "head script style noscript template svg math iframe object embed canvas audio video nav "
+    "head title script style noscript template svg iframe object embed canvas audio video nav "
     "footer aside form button select textarea input option datalist dialog menu".split()
 )
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
 )
-#: Words in class or id that mark boilerplate.
+#: A class or id marks boilerplate if it has one of these words and else only neutral ones.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie "
     "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "login nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead "
-    "footer sidebar widget related share sharing social comment comments disqus respond".split()
+    "login nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead "
+    "footer sidebar share sharing social comment comments disqus respond".split()
+)
+#: The same outside an article only.
+_OUTER_NAMES = frozenset("header related widget".split())
+_NEUTRAL = frozenset(
+    "area bar block blog body bottom box buttons col column container content form global google "
+    "group icons inner item items label left links list main middle page pages panel post posts "
+    "primary reader right row secondary section site slot text thread top unit user users "
+    "wrap wrapper".split()
 )
 #: A start tag closes an open element of these.
 _CLOSES = {
@@ -82,28 +106,30 @@ _SCOPE = frozenset(
 class Node:
     """An element; content holds strings and nodes in page order."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "content", "parent")
+    __slots__ = ("tag", "names", "role", "hidden", "content", "parent", "below", "shape", "same")
 
     def __init__(self, tag: str, attributes, parent: Node | None) -> None:
         given = {k: v or "" for k, v in attributes}
         self.tag = tag
-        words = f"{given.get('class', '')} {given.get('id', '')}".lower()
-        self.names = frozenset(re.split(r"[^a-z0-9]+", words)) - {""}
+        self.names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
         self.role = given.get("role", "").lower()
         self.hidden = "hidden" in given or "display:none" in given.get("style", "").replace(" ", "")
         self.content: list[Node | str] = []
         self.parent = parent
 
-    def blocks(self) -> list[Node]:
-        """Block elements right below, seen through inline elements."""
+    def parts(self) -> list[Node | str]:
+        """Block elements right below and the text between them, seen through inline elements."""
         found, todo = [], list(reversed(self.content))
         while todo:
             part = todo.pop()
-            if isinstance(part, Node):
-                if part.tag in _INLINE:
-                    todo.extend(reversed(part.content))
-                else:
-                    found.append(part)
+            if isinstance(part, Node) and part.tag in _INLINE:
+                if part.tag in ("br", "wbr"):
+                    found.append(" ")
+                todo.extend(reversed(part.content))
+            elif isinstance(part, str) and found and isinstance(found[-1], str):
+                found[-1] += part
+            else:
+                found.append(part)
         return found
 
 
@@ -151,153 +177,243 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def _named(name: str, in_article: bool) -> bool:
+    """Whether a class or id is made of words for boilerplate."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    marks = [w for w in words if w in _NAMES or (w in _OUTER_NAMES and not in_article)]
+    return bool(marks) and all(w in _NEUTRAL or w in _NAMES or w in _OUTER_NAMES for w in words)
+
+
 def _boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in _DROPPED or node.hidden or node.role in _ROLES:
         return True
     if node.tag == "header":
         return not in_article
-    return node.tag not in ("html", "body", "article", "main") and bool(node.names & _NAMES)
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    return any(_named(n, in_article) for n in node.names)
 
 
-def _text(node: Node) -> str:
-    """All text below, white space normalised."""
-    parts: list[str] = []
-    todo: list[Node | str] = [node]
-    while todo:
-        here = todo.pop()
-        if isinstance(here, str):
-            parts.append(here)
-        elif here.tag not in ("script", "style"):
-            todo.extend(reversed(here.content))
-    return " ".join(" ".join(parts).split())
+class Forest:
+    """Trees of a group, their block nodes numbered by shape (tags) and by content.
 
-
-class Alignment:
-    """Simple tree matching of one page with a reference."""
+    Equal shapes, and equal contents (tags and text), have equal numbers; comparison is of the
+    things themselves, not of hashes.
+    """
 
     def __init__(self) -> None:
-        self.weights: dict[tuple[int, int], int] = {}
-        self.children: dict[int, list[Node]] = {}
-
-    def below(self, node: Node) -> list[Node]:
-        found = self.children.get(id(node))
-        if found is None:
-            found = self.children[id(node)] = node.blocks()
-        return found
-
-    def weight(self, a: Node, b: Node) -> int:
-        """Size of the heaviest matching of two trees, 0 if their roots differ."""
-        if a.tag != b.tag:
+        self._shapes: dict[tuple, int] = {}
+        self._contents: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.has_text: list[bool] = []
+        self._weights: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> list[Node]:
+        """Number the block nodes of a tree; they are returned in page order, root first."""
+        nodes, contents, todo = [], [], [root]
+        while todo:
+            node = todo.pop()
+            found = [] if node.tag in ("script", "style") else node.parts()
+            node.below = [p for p in found if isinstance(p, Node)]
+            nodes.append(node)
+            contents.append(found)
+            todo.extend(reversed(node.below))
+        for node, found in zip(reversed(nodes), reversed(contents), strict=True):
+            below = tuple(n.shape for n in node.below)
+            node.shape = self._shapes.setdefault((node.tag, below), len(self._shapes))
+            if node.shape == len(self.tags):
+                self.tags.append(node.tag)
+                self.children.append(below)
+                self.sizes.append(1 + sum(self.sizes[k] for k in below))
+            lines = (p.same if isinstance(p, Node) else " ".join(p.split()) for p in found)
+            parts = tuple(p for p in lines if p != "")
+            node.same = self._contents.setdefault((node.tag, parts), len(self._contents))
+            if node.same == len(self.has_text):
+                self.has_text.append(
+                    any(isinstance(p, str) or self.has_text[p] for p in parts)
+                )
+        return nodes
+
+    def forget(self) -> None:
+        """Free the weights when there are many; they are found again when needed."""
+        if len(self._weights) > KEPT_WEIGHTS:
+            self._weights.clear()
+
+    def _known(self, x: int, y: int) -> int:
+        if self.tags[x] != self.tags[y]:
             return 0
-        # pairs below come first, on a stack, so that depth is not bounded
-        todo = [(a, b)]
+        return self.sizes[x] if x == y else self._weights[x, y]
+
+    def weight(self, a: int, b: int) -> int:
+        """Size of the heaviest matching of two shapes, 0 if their roots differ."""
+        if self.tags[a] == self.tags[b] and a != b:
+            todo = [(a, b)]  # pairs below come first, on a stack: depth is not bounded
+            while todo:
+                x, y = todo[-1]
+                if (x, y) in self._weights:
+                    todo.pop()
+                    continue
+                left, right, ends = self._trimmed(self.children[x], self.children[y])
+                missing = [
+                    (v, w)
+                    for v in set(left)
+                    for w in set(right)
+                    if v != w and self.tags[v] == self.tags[w] and (v, w) not in self._weights
+                ]
+                if missing:
+                    todo.extend(missing)
+                    continue
+                rest = int(self._row(left, right)[-1]) if left and right else 0
+                self._weights[x, y] = 1 + ends + rest
+        return self._known(a, b)
+
+    def _trimmed(self, left, right):
+        """Lists without equal shapes at both ends, and the size of these."""
+        first, last = _equal_ends(left, right)
+        ends = sum(self.sizes[k] for k in (*left[:first], *left[len(left) - last :]))
+        return left[first : len(left) - last], right[first : len(right) - last], ends
+
+    def _row(self, left, right) -> np.ndarray:
+        """Weights of the heaviest matching of left with each prefix of right."""
+        kinds, at = np.unique(np.array(right, dtype=np.int64), return_inverse=True)
+        gains: dict[int, np.ndarray] = {}
+        row = np.zeros(len(right) + 1, dtype=np.int64)
+        for x in left:
+            if x not in gains:
+                gains[x] = np.array([self._known(x, int(y)) for y in kinds])[at]
+            best = np.maximum(row[1:], row[:-1] + gains[x])
+            np.maximum.accumulate(best, out=row[1:])
+        return row
+
+    def _matching(self, left, right) -> list[tuple[int, int]]:
+        """Places of a heaviest matching of two lists of shapes."""
+        matched, todo = [], [(0, len(left), 0, len(right))]
         while todo:
-            x, y = todo[-1]
-            key = (id(x), id(y))
-            missing = [] if key in self.weights else self._missing(x, y)
-            if missing:
-                todo.extend(missing)
+            i, k, j, m = todo.pop()
+            first, last = _equal_ends(left[i:k], right[j:m])
+            matched += [(i + d, j + d) for d in range(first)]
+            matched += [(k - d, m - d) for d in range(1, last + 1)]
+            i, k, j, m = i + first, k - last, j + first, m - last
+            if i == k or j == m:
+                continue
+            if k - i == 1:
+                gains = [self.weight(left[i], y) for y in right[j:m]]
+                if max(gains):
+                    matched.append((i, j + gains.index(max(gains))))
                 continue
-            todo.pop()
-            if key not in self.weights:
-                table = self._table(x, y)
-                self.weights[key] = 1 + (table[-1][-1] if table else len(self._in_order(x, y)))
-        return self.weights[id(a), id(b)]
-
-    def _missing(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """Pairs of children whose weight _table needs and that have none yet."""
-        left, right = self.below(a), self.below(b)
-        if len(left) * len(right) > TABLE:
-            return []
-        return [
-            (x, y)
-            for x in left
-            for y in right
-            if x.tag == y.tag and (id(x), id(y)) not in self.weights
-        ]
-
-    def _table(self, a: Node, b: Node) -> list[list[int]] | None:
-        left, right = self.below(a), self.below(b)
-        if len(left) * len(right) > TABLE:
-            return None
-        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, x in enumerate(left):
-            row, above = table[i + 1], table[i]
-            for j, y in enumerate(right):
-                row[j + 1] = max(above[j + 1], row[j], above[j] + self._known(x, y))
-        return table
-
-    def _known(self, a: Node, b: Node) -> int:
-        return self.weights[id(a), id(b)] if a.tag == b.tag else 0
-
-    def _in_order(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        pairs, at = [], 0
-        right = self.below(b)
-        for x in self.below(a):
-            for j in range(at, min(len(right), at + 8)):
-                if right[j].tag == x.tag:
-                    pairs.append((x, right[j]))
-                    at = j + 1
-                    break
-        return pairs
+            half = (i + k) // 2
+            before = self._row(left[i:half], right[j:m])
+            after = self._row(left[half:k][::-1], right[j:m][::-1])[::-1]
+            cut = j + int(np.argmax(before + after))
+            todo += [(i, half, j, cut), (half, k, cut, m)]
+        return matched
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """Matched (node of a, node of b), roots included."""
+        """Matched (node of a, node of b) of two numbered trees, roots included."""
         matched, todo = [], [(a, b)] if a.tag == b.tag else []
         while todo:
             x, y = todo.pop()
             matched.append((x, y))
-            self.weight(x, y)
-            table = self._table(x, y)
-            if table is None:
-                todo += self._in_order(x, y)
+            self.weight(x.shape, y.shape)
+            left, right = [n.shape for n in x.below], [n.shape for n in y.below]
+            if x.shape == y.shape:
+                todo += zip(x.below, y.below, strict=True)
                 continue
-            left, right = self.below(x), self.below(y)
-            i, j = len(left), len(right)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((left[i], right[j]))
+            todo += [(x.below[i], y.below[j]) for i, j in self._matching(left, right)]
         return matched
 
 
+def _equal_ends(left, right) -> tuple[int, int]:
+    """How many shapes are equal at the start, and then at the end, of two lists."""
+    short = min(len(left), len(right))
+    first = 0
+    while first < short and left[first] == right[first]:
+        first += 1
+    last = 0
+    while last < short - first and left[-1 - last] == right[-1 - last]:
+        last += 1
+    return first, last
+
+
+def _word_pairs(nodes: list[Node]) -> set[tuple[str, ...]]:
+    """Different pairs of neighbouring words in the blocks' own text."""
+    words = " ".join(p for n in nodes for p in n.parts() if isinstance(p, str)).split()
+    return set(zip(words, words[1:], strict=False)) or {tuple(words)} - {()}
+
+
+def _different(articles: dict[int, set[tuple[str, ...]]]) -> set[int]:
+    """Pages with an article (given by its word pairs) unlike all those before."""
+    counted: set[int] = set()
+    holders: dict[tuple[str, ...], list[int]] = {}
+    for k, pairs in sorted(articles.items()):
+        shared: dict[int, int] = {}
+        for pair in pairs:
+            for other in holders.get(pair, ()):
+                shared[other] = shared.get(other, 0) + 1
+        if pairs and max(shared.values(), default=0) < ALIKE * len(pairs):
+            counted.add(k)
+            for pair in pairs:
+                holders.setdefault(pair, []).append(k)
+    return counted
+
+
 def template_nodes(trees: list[Node], constant: float, least_pages: int) -> list[set[int]]:
     """For each tree the ids of its nodes that belong to the template of all."""
-    distinct: dict[str, int] = {}
+    forest = Forest()
+    nodes = [forest.add(tree) for tree in trees]
+    distinct: dict[int, int] = {}
     for k, tree in enumerate(trees):
-        distinct.setdefault(_text(tree), k)
+        distinct.setdefault(tree.same, k)
     if len(distinct) < least_pages:
         return [set() for _ in trees]
-    reference = trees[min(distinct.values())]
-    evidence = set(distinct.values())
-    alignments = [Alignment().pairs(reference, tree) for tree in trees]
+    pages = set(distinct.values())
+    inside = [_inside_articles(tree) for tree in trees]
+    articles = _different(
+        {k: _word_pairs([n for n in nodes[k] if id(n) in inside[k]]) for k in pages}
+    )
+    reference = _reference(forest, nodes, pages)
+    alignments = []
+    for tree in trees:
+        alignments.append(forest.pairs(trees[reference], tree))
+        forest.forget()
     seen: dict[int, int] = {}
     same: dict[int, int] = {}
-    texts: dict[int, str] = {}
-    for k, pairs in enumerate(alignments):
-        if k not in evidence or trees[k] is reference:
-            continue
-        for a, b in pairs:
-            key = id(a)
-            if key not in texts:
-                texts[key] = _text(a)
-            seen[key] = seen.get(key, 0) + 1
-            same[key] = same.get(key, 0) + (texts[key] == _text(b))
-    fixed = {
-        k
-        for k, n in seen.items()
-        if texts[k] and n >= least_pages - 1 and same[k] >= constant * n
-    }
+    for k in pages:
+        for a, b in alignments[k]:
+            if id(a) in inside[reference] and k not in articles:
+                continue
+            seen[id(a)] = seen.get(id(a), 0) + 1
+            same[id(a)] = same.get(id(a), 0) + (a.same == b.same)
+    fixed = {k for k, n in seen.items() if n >= least_pages and same[k] >= constant * n}
     return [
-        {id(b) for a, b in pairs if id(a) in fixed and texts[id(a)] == _text(b)}
+        {id(b) for a, b in pairs if id(a) in fixed and a.same == b.same and forest.has_text[a.same]}
         for pairs in alignments
     ]
 
 
+def _reference(forest: Forest, nodes: list[list[Node]], pages: set[int]) -> int:
+    """The page whose contents stand on most other pages; the first of equals."""
+    spread: dict[int, int] = {}
+    found = {k: {n.same for n in nodes[k] if forest.has_text[n.same]} for k in pages}
+    for contents in found.values():
+        for content in contents:
+            spread[content] = spread.get(content, 0) + 1
+    return max(sorted(pages), key=lambda k: sum(spread[c] - 1 for c in found[k]))
+
+
+def _inside_articles(tree: Node) -> set[int]:
+    """Ids of the block nodes in articles that are not boilerplate by tag, role or name."""
+    found: set[int] = set()
+    todo = _articles(tree)
+    while todo:
+        node = todo.pop()
+        found.add(id(node))
+        todo += [n for n in node.below if not _boilerplate(n, True)]
+    return found
+
+
 def _articles(root: Node) -> list[Node]:
     """Outermost article and main elements outside boilerplate, in page order."""
     found, todo = [], list(reversed(root.content))
@@ -338,8 +454,7 @@ def main_text(tree: Node, template: set[int]) -> str:
     blocks: list[list[str]] = [[]]
     for root in articles or [tree]:
         blocks.append([])
-        # inside a marked article equal text means copied pages, not a template
-        _read(root, set() if articles else template, bool(articles), blocks)
+        _read(root, template, bool(articles), blocks)
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(line for line in lines if line)
 
@@ -359,15 +474,21 @@ def extract(
     url: str = "url",
     html: str = "html",
     group: int = GROUP,
+    group_bytes: int = GROUP_BYTES,
     constant: float = CONSTANT,
     least_pages: int = LEAST_PAGES,
 ) -> DataFrame:
     """pages without html, with text and n_chars."""
     kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
     host = host_and_path(F.col(url))[0]
-    sizes = pages.groupBy(host.alias("__host")).count().where(F.col("count") > group)
+    sizes = pages.groupBy(host.alias("__host")).agg(
+        F.count("*").alias("__count"), F.sum(F.octet_length(html)).alias("__bytes")
+    )
+    parts = F.greatest(
+        F.ceil(F.col("__count") / group), F.ceil(F.coalesce("__bytes", F.lit(0)) / group_bytes)
+    )
     hot = stage(
-        sizes.select("__host", F.ceil(F.col("count") / group).cast("int").alias("__parts")), "hosts"
+        sizes.select("__host", parts.cast("int").alias("__parts")).where("__parts > 1"), "hosts"
     )
     dealt = (
         pages.select(*[f.name for f in kept], F.col(html).alias("__html"))
