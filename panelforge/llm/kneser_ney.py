@@ -14,16 +14,16 @@ n-grams are exact 64-bit keys. Nothing of it is ever held whole:
 
 Blocks are ranges of the stored rows, so the texts are not shuffled for scoring. A fifth of the
 trusted documents (by id hash) is not counted; their perplexities, being those of unseen good
-text, give the threshold of their language: on the logarithm, the median plus `SPREAD` standard
-deviations, these taken from the median distance to the median. Neither moves with a few noisy
-trusted documents. The deviation is averaged with that of all languages, which weighs as much as
-`PRIOR` documents, so that a language with a handful of documents has one too.
-
-Null and blank texts have no perplexity and are not kept. Without trusted text there is no
-model: every text has perplexity 256 (all bytes alike), no threshold, and is kept; without a
-held-out trusted document of its language a document has no threshold either. A null
-language is a language of its own without a threshold. Repeated rows are judged one by one.
-Input columns named like the results are replaced; all others pass through.
+text, give the threshold of their language: the `QUANTILE` of them. On the logarithm, its
+distance above the language's median is averaged with that of all languages, which weighs as
+much as `PRIOR` documents, so that a language with a handful of documents, one of them noisy,
+has a sound threshold too; with many documents the average is the quantile itself.
+
+Null and blank texts have no perplexity and are not kept. A document whose language is null, or
+has no held-out trusted document, is held to the same quantile over all of these. Without
+any there is no threshold, and texts are kept; without trusted text there is no model, and every
+text has perplexity 256 (all bytes alike). Repeated rows are judged one by one. Input columns
+named like the results are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -40,12 +40,10 @@ from pyspark.sql import types as T
 from panelforge.sources.staging import stage, stage_path
 
 ORDER = 5
-#: Standard deviations above the median that are still kept.
-SPREAD = 3.0
-#: Held-out documents that the deviation of all languages weighs as much as.
+#: Share of held-out trusted documents that their language's threshold keeps.
+QUANTILE = 0.97
+#: Held-out documents that the distance of all languages weighs as much as.
 PRIOR = 10
-#: Standard deviation of a normal distribution over its median distance to the median.
-_NORMAL = 1.4826
 FOLDS = 5
 ACCURACY = 10_000
 LEAST_DISCOUNT = 0.1
@@ -305,26 +303,32 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     return docs.mapInArrow(score, schema)
 
 
-def thresholds(reference: DataFrame, lang: str = "lang", spread: float = SPREAD) -> DataFrame:
-    """(lang, threshold) of the languages in reference, which has perplexities of good text."""
-    logs = reference.where(F.col(lang).isNotNull()).select(lang, F.log("perplexity").alias("__log"))
-    half = F.percentile_approx("__log", 0.5, ACCURACY)
-    centres = logs.groupBy(lang).agg(half.alias("__centre"))
-    away = logs.join(centres, lang).withColumn("__away", F.abs(F.col("__log") - F.col("__centre")))
-    middle = F.percentile_approx("__away", 0.5, ACCURACY)
-    of_all = F.lit(away.agg(middle).first()[0]).cast("double")
-    deviation = (F.col("__n") * F.col("__own") + PRIOR * of_all) / (F.col("__n") + PRIOR)
-    return (
-        away.groupBy(lang)
-        .agg(
-            F.first("__centre").alias("__centre"),
-            middle.alias("__own"),
-            F.count("*").alias("__n"),
-        )
+def thresholds(
+    reference: DataFrame, lang: str = "lang", quantile: float = QUANTILE
+) -> tuple[DataFrame, float | None]:
+    """(lang, threshold) of the languages in reference, which has perplexities of good text, and
+    the threshold of any other language (None if reference is empty)."""
+    logs = reference.select(lang, F.log("perplexity").alias("__log"))
+    points = F.percentile_approx("__log", [0.5, quantile], ACCURACY).alias("__points")
+    of_all = logs.agg(points).first()["__points"]
+    own = stage(
+        logs.where(F.col(lang).isNotNull())
+        .groupBy(lang)
+        .agg(points, F.count("*").alias("__n"))
         .select(
-            lang, F.exp(F.col("__centre") + spread * _NORMAL * deviation).alias("threshold")
-        )
+            lang,
+            "__n",
+            F.col("__points")[0].alias("__middle"),
+            (F.col("__points")[1] - F.col("__points")[0]).alias("__above"),
+        ),
+        "languages",
+    )
+    shared = own.agg(F.sum(F.col("__n") * F.col("__above")) / F.sum("__n")).first()[0]
+    above = (F.col("__n") * F.col("__above") + F.lit(shared).cast("double") * PRIOR) / (
+        F.col("__n") + PRIOR
     )
+    limits = own.select(lang, F.exp(F.col("__middle") + above).alias("threshold"))
+    return stage(limits, "thresholds"), None if of_all is None else float(np.exp(of_all[1]))
 
 
 def judge(
@@ -335,7 +339,7 @@ def judge(
     lang: str = "lang",
     block: str | None = None,
     order: int = ORDER,
-    spread: float = SPREAD,
+    quantile: float = QUANTILE,
 ) -> DataFrame:
     """docs without text, with perplexity, threshold and kept.
 
@@ -355,9 +359,10 @@ def judge(
     model = Model(docs.select("__block", doc_id, text), folder, order)
     scored = stage(perplexities(docs, model, text).drop(text, "threshold", "kept"), "perplexity")
     reference = scored.join(good.where(unseen), doc_id, "left_semi").where("perplexity IS NOT NULL")
-    limits = thresholds(reference, lang, spread)
+    limits, common = thresholds(reference, lang, quantile)
     return (
         scored.join(limits, lang, "left")
+        .withColumn("threshold", F.coalesce("threshold", F.lit(common).cast("double")))
         .withColumn(
             "kept",
             F.col("perplexity").isNotNull()

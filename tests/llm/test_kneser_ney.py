@@ -132,3 +132,48 @@ def test_few_bad_documents_are_kept(spark):
     rows = found.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()
     share = {(r.quality, r.toxic): r.s for r in rows}
     assert share[1, 0] > 0.97 and share[0, 0] < 0.05 and share[0, 1] < 0.05
+
+
+def plain_thresholds(rows, quantile, prior):
+    """rows: (lang, perplexity)"""
+
+    def at(values, share):
+        return sorted(values)[max(math.ceil(share * len(values)), 1) - 1]
+
+    logs = {}
+    for lang, value in rows:
+        logs.setdefault(lang, []).append(math.log(value))
+    named = {k: v for k, v in logs.items() if k is not None}
+    above = {k: at(v, quantile) - at(v, 0.5) for k, v in named.items()}
+    shared = sum(len(v) * above[k] for k, v in named.items()) / sum(map(len, named.values()))
+    found = {
+        k: math.exp(at(v, 0.5) + (len(v) * above[k] + prior * shared) / (len(v) + prior))
+        for k, v in named.items()
+    }
+    return found, math.exp(at([x for v in logs.values() for x in v], quantile))
+
+
+def test_thresholds_are_language_quantiles(spark):
+    rng = random.Random(7)
+    rows = [(lang, 3 + 4 * rng.random()) for lang, n in (("en", 500), ("de", 40), ("fr", 1), (None, 9)) for _ in range(n)]
+    reference = spark.createDataFrame(rows, "lang string, perplexity double")
+    limits, common = kneser_ney.thresholds(reference)
+    want, of_all = plain_thresholds(rows, kneser_ney.QUANTILE, kneser_ney.PRIOR)
+    assert {r.lang: pytest.approx(r.threshold) for r in limits.collect()} == want
+    assert common == pytest.approx(of_all)
+    # without a prior it is the quantile itself: the share above it is no more than is left
+    own = [p for lang, p in rows if lang == "en"]
+    assert sum(p > want["en"] for p in own) <= 0.04 * len(own)
+    limits, common = kneser_ney.thresholds(reference.limit(0))
+    assert limits.count() == 0 and common is None
+
+
+def test_languages_without_held_out_text_have_the_common_threshold(spark):
+    rng = random.Random(8)
+    many, bad = _noisy_rows(spark, "en", 0, 200, rng)
+    strange = [(5000, bad[1], None, "a"), (5001, bad[1], "xx", "a"), (5002, many[0][1], None, "a")]
+    docs = edge.docs(spark, [*many, *strange])
+    trusted = spark.createDataFrame([(r[0],) for r in many], "doc_id long")
+    found = {r.doc_id: r for r in kneser_ney.judge(docs, trusted, order=ORDER).collect()}
+    assert not found[5000].kept and not found[5001].kept
+    assert found[5000].threshold == found[5001].threshold is not None
