@@ -501,8 +501,12 @@ _SOLID_SQL = f"""
     """,
 )
 def othersolid_unique_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuels.map_solid_fuels(_solid_rows(spark, sf_dir))
+
+
+def _solid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.col("l_orderkey") % 9
-    rows = (
+    return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.concat(
@@ -523,7 +527,6 @@ def othersolid_unique_map(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("energyInputTJ")
         )
     )
-    return fuels.map_solid_fuels(rows)
 
 
 # --- energy ---------------------------------------------------------------------------
@@ -567,6 +570,145 @@ def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- older plants ---------------------------------------------------------------------
+
+# Measures of the older database's plants, by what tells their orders apart.
+_PLANT_FUELS = {
+    "Biomass": "1-URGENT",
+    "OtherSolidFuels": "2-HIGH",
+    "LiquidFuels": "3-MEDIUM",
+    "NaturalGas": "4-NOT SPECIFIED",
+    "OtherGases": "5-LOW",
+}
+_PLANT_EMISSIONS = {"NOx": "F", "SO2": "O", "Dust": "P"}
+
+
+def _plants_sql(column: str, measures: dict[str, str], shift: int) -> str:
+    sums = ", ".join(
+        f"CAST(sum(CASE WHEN {column} = '{value}' THEN CAST(round(o_totalprice) AS BIGINT) END)"
+        f" AS DOUBLE) AS {name}"
+        for name, value in measures.items()
+    )
+    return f"""
+    SELECT 'C' || (o_custkey % 500) AS Unique_Plant_ID,
+           CAST(year(o_orderdate) + {shift} AS BIGINT) AS ReferenceYear, {sums}
+    FROM orders GROUP BY 1, 2
+    """
+
+
+def _plants(
+    spark: SparkSession, sf_dir: str, column: str, measures: dict[str, str], shift: int
+) -> DataFrame:
+    price = F.round("o_totalprice").cast("long")
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(
+            F.concat(F.lit("C"), (F.col("o_custkey") % 500).cast("string")).alias(
+                "Unique_Plant_ID"
+            ),
+            (year_of("o_orderdate") + shift).alias("ReferenceYear"),
+        )
+        .agg(
+            *[
+                F.sum(F.when(F.col(column) == value, price)).cast("double").alias(name)
+                for name, value in measures.items()
+            ]
+        )
+    )
+
+
+def _part_links(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    """Every second plant is linked to a part, some parts to two plants."""
+    key = F.col("s_suppkey")
+    part = F.concat(F.lit("P"), F.ceil(key / 2).cast("string"), F.lit(ending))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("C"), (key * 2).cast("string")).alias("Unique_Plant_ID"),
+        part.alias("Installation_Part_INSPIRE_ID"),
+    )
+
+
+def _older_sql(plants: str, ending: str, codes: dict[str, str], name: str, value: str) -> str:
+    """Plant measures as rows of parts, missing ones left out; codes by measure."""
+    rows = " UNION ALL ".join(
+        f"SELECT part, ReferenceYear, '{code}', sum({measure}) FROM linked GROUP BY 1, 2"
+        for measure, code in codes.items()
+    )
+    return f"""
+    WITH linked AS (
+        SELECT p.*, coalesce(
+            'P' || CAST(ceil(s_suppkey / 2.0) AS BIGINT) || '{ending}', Unique_Plant_ID
+        ) AS part
+        FROM ({plants}) p LEFT JOIN supplier ON Unique_Plant_ID = 'C' || (s_suppkey * 2)
+    ), melted(Installation_Part_INSPIRE_ID, reportingYear, {name}, {value}) AS ({rows})
+    SELECT * FROM melted WHERE {value} IS NOT NULL
+    """
+
+
+_OLDER_EMISSIONS_SQL = _older_sql(
+    _plants_sql("o_orderstatus", _PLANT_EMISSIONS, 0),
+    "",
+    {"NOx": "NOX", "SO2": "SO2", "Dust": "DUST"},
+    "pollutantCode",
+    "totalPollutantQuantityTNE",
+)
+_OLDER_FUELS_SQL = _older_sql(
+    _plants_sql("o_orderpriority", _PLANT_FUELS, 20),
+    "-0",
+    {name: name for name in _PLANT_FUELS},
+    "fuelInputCode",
+    "energyInputTJ",
+)
+
+
+@query(
+    "older_emissions_append",
+    f"""
+    SELECT Installation_Part_INSPIRE_ID, reportingYear, pollutantCode, totalPollutantQuantityTNE
+    FROM ({_EMISSIONS_SQL})
+    UNION
+    SELECT Installation_Part_INSPIRE_ID, reportingYear, pollutantCode, totalPollutantQuantityTNE
+    FROM ({_OLDER_EMISSIONS_SQL})
+    """,
+)
+def older_emissions_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emissions of parts, with those of older plants under the parts they are linked to."""
+    plants = _plants(spark, sf_dir, "o_orderstatus", _PLANT_EMISSIONS, 0)
+    return fuels.append_older_emissions(
+        _emissions(spark, sf_dir), plants, _part_links(spark, sf_dir, "")
+    )
+
+
+@query(
+    "older_fuels_append",
+    f"""
+    WITH both_sources AS (
+        SELECT Installation_Part_INSPIRE_ID, reportingYear, fuelInputCode, energyInputTJ
+        FROM ({_SOLID_SQL})
+        UNION
+        SELECT Installation_Part_INSPIRE_ID, reportingYear, fuelInputCode, energyInputTJ
+        FROM ({_OLDER_FUELS_SQL})
+    ), solid AS (
+        SELECT Installation_Part_INSPIRE_ID, max(fuelInputCode) AS solid FROM both_sources
+        WHERE energyInputTJ > 0 AND reportingYear IN (2016, 2018)
+          AND fuelInputCode IN ('Coal', 'Lignite', 'Peat')
+        GROUP BY 1 HAVING count(DISTINCT fuelInputCode) = 1
+    )
+    SELECT Installation_Part_INSPIRE_ID, reportingYear, energyInputTJ,
+           CASE WHEN fuelInputCode = 'OtherSolidFuels' THEN coalesce(solid, fuelInputCode)
+                ELSE fuelInputCode END AS fuelInputCode
+    FROM both_sources LEFT JOIN solid USING (Installation_Part_INSPIRE_ID)
+    """,
+)
+def older_fuels_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of parts, with the fuel columns of older plants as rows, solid fuels told apart."""
+    plants = _plants(spark, sf_dir, "o_orderpriority", _PLANT_FUELS, 20)
+    return fuels.append_older_fuels(
+        _solid_rows(spark, sf_dir), plants, _part_links(spark, sf_dir, "-0")
+    )
+
+
+# --- repaired emissions ---------------------------------------------------------------
+
 _REPAIRED_EMISSIONS_SQL = repaired_units_sql(
     balanced_sql(_EMISSIONS_SQL, "reportingYear", _EMISSION_KEY, "totalPollutantQuantityTNE"),
     "totalPollutantQuantityTNE",
