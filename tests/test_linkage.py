@@ -401,3 +401,33 @@ def test_one_wide_bucket_of_random_pairs_is_dealt_in_tiles(spark):
     pairs = random_pairs(left, None, "id", max_pairs=1e9)
     assert "_tile_l" in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.count() == 5000 * 4999 / 2
+
+
+def test_combined_levels_form_fewer_pairs_and_lose_none(spark):
+    """Dates, prices and kinds in one block: what pairs at the threshold have in common is one key."""
+    rng = random.Random(11)
+    rows = [
+        (i, "b", rng.randint(0, 30), rng.uniform(1, 100), rng.choice("uvwx")) for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, "id long, k string, day int, price double, kind string")
+    comparisons = (
+        lv.compare("day", lv.null_level("day"), lv.exact("day"), lv.within_difference("day", 3),
+                   lv.otherwise()),
+        lv.compare("price", lv.null_level("price"), lv.within_share("price", 0.01),
+                   lv.within_share("price", 0.2), lv.otherwise()),
+        lv.exact_match("kind"),
+    )
+    m = {"day": {2: 0.7, 1: 0.2, 0: 0.1}, "price": {2: 0.8, 1: 0.1, 0: 0.1}, "kind": {1: 0.9, 0: 0.1}}
+    u = {"day": {2: 0.03, 1: 0.2, 0: 0.77}, "price": {2: 0.01, 1: 0.2, 0: 0.79}, "kind": {1: 0.2, 0: 0.8}}
+    model = Model(comparisons, 0.01, m, u)
+    single = [level for _, _, level in index_levels(model, 0.0)]
+    combined = scoring.index_combinations(model, 0.0, never={"day", "price", "kind"})
+    formed = [KeyIndex(df, None, block_on("k"), levels).pairs_formed() for levels in (single, combined)]
+    assert formed[1] < 0.5 * formed[0]
+    # A missing price is neutral, so the keys may not ask for one where prices are missing.
+    lacking = df.withColumn("price", F.when(F.col("id") % 7 != 0, F.col("price")))
+    for records in (df, lacking):
+        want = score(candidate_pairs(records, None, "id", [block_on("k")]), model)
+        assert ids(predict(records, None, "id", [block_on("k")], model, 0.0)) == ids(
+            want.where("match_weight >= 0")
+        )
