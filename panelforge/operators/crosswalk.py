@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.ordered import value_at_max
 from panelforge.sources.staging import stage
 
 
@@ -27,10 +26,25 @@ def apply_crosswalk(
 def best_by_weight(
     pairs: DataFrame, record: str, partner: str, weight: str, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Heaviest partner per record as one map-side combined maximum."""
-    return pairs.groupBy(record).agg(
-        value_at_max(partner, weight).alias(partner),
-        *[value_at_max(c, weight).alias(c) for c in carry],
+    """Heaviest partner per record, with what its own row carries, as one map-side combined minimum.
+
+    Ties go to the least partner (then the least carried values), as in ``best_match``. Pairs
+    without a partner or weight do not compete.
+    """
+    w = F.col(weight)
+    # NaN weighs most, as in any descending order.
+    order = [F.when(F.isnan(w), 0).otherwise(1).alias("nan"), (-w).alias("w")]
+    row = F.struct(*order, F.col(partner).alias("partner"),
+                   *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    known = F.col(partner).isNotNull() & w.isNotNull()
+    return (
+        pairs.groupBy(record)
+        .agg(F.min(F.when(known, row)).alias("_best"))
+        .select(
+            record,
+            F.col("_best.partner").alias(partner),
+            *[F.col(f"_best.c{i}").alias(c) for i, c in enumerate(carry)],
+        )
     )
 
 

@@ -32,7 +32,7 @@ from panelforge.linkage.score import (
     predict,
     score,
 )
-from panelforge.operators.crosswalk import one_to_one_matching
+from panelforge.operators.crosswalk import best_by_weight, one_to_one_matching
 
 
 def people(spark, n=120, seed=3, shift=0):
@@ -431,3 +431,16 @@ def test_combined_levels_form_fewer_pairs_and_lose_none(spark):
         assert ids(predict(records, None, "id", [block_on("k")], model, 0.0)) == ids(
             want.where("match_weight >= 0")
         )
+
+
+def test_best_by_weight_settles_ties_by_partner_and_keeps_rows_whole(spark):
+    rows = [
+        ("a", 2, 5.0, "x"), ("a", 1, 5.0, "b"), ("a", 3, 5.0, "z"), ("a", 0, 4.0, "y"),
+        ("b", 7, 1.0, None), ("b", 6, 0.5, "q"), ("c", None, 9.0, "u"), ("c", 4, None, "v"),
+        ("d", 1, 8.0, "m"), ("d", 2, float("nan"), "n"),
+    ]
+    pairs = spark.createDataFrame(rows, "record string, partner long, weight double, note string")
+    best = best_by_weight(pairs, "record", "partner", "weight", ["note"])
+    assert sorted(map(tuple, best.collect())) == [
+        ("a", 1, "b"), ("b", 7, None), ("c", None, None), ("d", 2, "n"),
+    ]
