@@ -444,3 +444,11 @@ def test_best_by_weight_settles_ties_by_partner_and_keeps_rows_whole(spark):
     assert sorted(map(tuple, best.collect())) == [
         ("a", 1, "b"), ("b", 7, None), ("c", None, None), ("d", 2, "n"),
     ]
+
+
+def test_pairs_of_one_small_file_are_formed_by_many_tasks(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "id % 100 AS k").coalesce(1).write.parquet(f"{tmp_path}/r")
+    df = spark.read.parquet(f"{tmp_path}/r")
+    pairs = indexed_pairs(df, df, "id", block_on("k"), [lv.exact("k")])
+    tasks = pairs.groupBy(F.spark_partition_id()).count().count()
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) / 2
