@@ -138,7 +138,9 @@ def _expected(tables: dict[str, str]) -> str:
 
 
 def _database(spark: SparkSession, sf_dir: str, tables: dict[str, str], folder: str, read):
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    # A key makes many cells: the size of the keys' file may not set the number of writers.
+    tasks = spark.sparkContext.defaultParallelism
+    customers = table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks)
     root = stage_path(spark, "catalogue")
     catalog = Catalog(spark, root, as_of=_AS_OF)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.constants import DATE_FORMAT
-from panelforge.sources.csv_records import csv_records
+from panelforge.sources.csv_records import records_and_heads
 
 _FINGERPRINT = "panelforge.schema"
 
@@ -98,13 +98,16 @@ def _column_names(header: str) -> tuple[str, ...]:
 def _read_text(spark: SparkSession, files: list[str], multi_line: bool) -> list[DataFrame]:
     """The files as text columns, one table per header; columns go by name in every file.
 
-    All headers come from one job, and large files are read by many tasks.
+    All headers come from the scan for quotes, or from one job where that has not found them, and
+    large files are read by many tasks.
     """
-    records = csv_records(spark, files, multi_line)
+    records, heads = records_and_heads(spark, files, multi_line)
     first = (F.col("start") == 0) & (F.col("at") == 0)
+    if not heads or None in heads.values():
+        heads = {r.file: r.text for r in records.where(first).select("file", "text").collect()}
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in records.where(first).select("file", "text").collect():
-        by_header.setdefault(_column_names(row.text), []).append(row.file)
+    for file, head in heads.items():
+        by_header.setdefault(_column_names(head), []).append(file)
     tables = []
     for header, members in sorted(by_header.items()):
         named = records.where(~first & (F.col("text") != ""))

@@ -246,3 +246,34 @@ def test_named_relations_are_written_once(spark, tmp_path):
     second.drop()
     assert not second.written and not second._exists(gone)
     assert first._exists(first.written[0])
+
+
+def test_an_unclosed_quote_in_the_last_range_keeps_its_rows(spark, tmp_path):
+    file = tmp_path / "open.csv"
+    file.write_text('a,b\n1,x\n2,"never closed\n3,y\n')
+    rows = csv_records(spark, [str(file)]).orderBy("start", "at").collect()
+    assert [r.text for r in rows] == ["a,b", "1,x", '2,"never closed\n3,y']
+
+
+def test_csv_lines_are_scanned_twice_at_most(spark, tmp_path, monkeypatch):
+    """Once for quotes (headers included), once for records; edges are cut out by line numbers."""
+    from panelforge.sources import csv_records as module
+
+    made = []
+    for name in ("_join_lines", "_edge_lines"):
+        kept = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, kept=kept, name=name: made.append(name) or kept(*a))
+    file = tmp_path / "t.csv"
+    file.write_text("a,b\n" + "".join(f'{i},"x, ""{i}""\nmore"\n' for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        records, heads = module.records_and_heads(spark, [str(file)])
+        texts = [r.text for r in records.orderBy("start", "at").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert list(heads.values()) == ["a,b"]
+    assert texts == ["a,b"] + [f'{i},"x, ""{i}""\nmore"' for i in range(3000)]
+    assert made == ["_join_lines", "_edge_lines"]
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
