@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.joins import melt, union_distinct_by_name
 from panelforge.operators.panel import fill_missing
+from panelforge.sources.staging import stage
 
 UNIT = "Installation_Part_INSPIRE_ID"
 TIME = "reportingYear"
@@ -115,12 +116,18 @@ def standardise_fuels(df: DataFrame) -> DataFrame:
     """
     used = F.col(ENERGY) > 0.0
     texts = ("furtherDetails", "otherSolidFuelCode", "otherGaseousFuelCode")
-    filled = fill_missing(
-        df.select(UNIT, TIME, "fuelInputCode", *texts, ENERGY),
-        {c: F.when(used, F.col(c)) for c in texts},
-        [UNIT, "fuelInputCode"],
-        TIME,
+    # Rows that say the same are one from here on: they are borrowed for, coded and summed alike.
+    # An aggregate in hash tables needs numbers as its values, so texts are its keys only.
+    different = (
+        df.select(
+            UNIT, TIME, "fuelInputCode", *[F.when(used, F.col(c)).alias(c) for c in texts], ENERGY
+        )
+        .groupBy(UNIT, TIME, "fuelInputCode", *texts)
+        .agg(F.sum(ENERGY).alias(ENERGY))
     )
+    # Read for what neighbouring years lend and for the rows that borrow.
+    different = stage(different, "fuel_rows")
+    filled = fill_missing(different, {c: F.col(c) for c in texts}, [UNIT, "fuelInputCode"], TIME)
     details, gas = F.col("furtherDetails"), F.col("otherGaseousFuelCode")
     recoded_gas = (
         F.when(gas == "Other", F.lit(None))

@@ -205,3 +205,23 @@ def test_factors_come_from_the_catalogue(catalog, monkeypatch):
     changed = loaders.energy_inputs(catalog).where("fuelInputCode = 'Coal'").first()
     assert changed.emission_factor_tCO2TJ == pytest.approx(2 * usual.emission_factor_tCO2TJ)
     assert changed.tCO2 / changed.energyInputTJ == pytest.approx(2 * usual.emission_factor_tCO2TJ)
+
+
+def test_fuel_rows_are_read_once_and_combined(spark, tmp_path):
+    """Equal rows are one before details are borrowed; the source is not read for each use."""
+    from panelforge.operators.fuels import standardise_fuels
+
+    rows = [("P1", 2001, "OtherGases", "old biogas", None, "Other", 2.0)] * 5 + [
+        ("P1", 2002, "OtherGases", None, None, "Other", 1.5),
+        ("P1", 2002, "OtherGases", "ignored", None, "Other", 0.0),
+        ("P1", 2002, "OtherGases", None, None, "Other", None),
+    ]
+    schema = """Installation_Part_INSPIRE_ID string, reportingYear long, fuelInputCode string,
+        furtherDetails string, otherSolidFuelCode string, otherGaseousFuelCode string,
+        energyInputTJ double"""
+    source = f"{tmp_path}/rows"
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    standard = standardise_fuels(spark.read.parquet(source))
+    got = [(r.reportingYear, r.fuelInputCode, r.energyInputTJ) for r in standard.collect()]
+    assert sorted(got) == [(2001, "OtherGases", 10.0), (2002, "OtherGases", 1.5)]
+    assert not any(source in name for name in standard.inputFiles())
