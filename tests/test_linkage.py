@@ -22,6 +22,7 @@ from panelforge.linkage.model import (
 )
 from panelforge.functions.similarity import _jaro_winkler, letter_order
 from panelforge.linkage import score as scoring
+from panelforge.linkage import text_search
 from panelforge.linkage.blocking import range_join
 from panelforge.linkage.clusters import clusters
 from panelforge.linkage.score import (
@@ -452,3 +453,77 @@ def test_pairs_of_one_small_file_are_formed_by_many_tasks(spark, tmp_path):
     pairs = indexed_pairs(df, df, "id", block_on("k"), [lv.exact("k")])
     tasks = pairs.groupBy(F.spark_partition_id()).count().count()
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) / 2
+
+
+def sized_texts(spark, n=220, seed=4):
+    """Texts in one wide block, some empty, missing or long, with sizes and narrow groups."""
+    rng = random.Random(seed)
+    rows = texts(spark, n, seed).collect()
+    sizes = [None, 0, 100, 101, 103, 140, 141, 400]
+    data = [(r.id, 1, i % 70, r.name, rng.choice(sizes)) for i, r in enumerate(rows)]
+    data += [("e2", 1, 0, "", 100), ("long2", 1, 3, "kraftwerk " * 29 + "kraftwrek", 141)]
+    return spark.createDataFrame(data, "id string, k int, few int, name string, size int")
+
+
+def sized_text_model():
+    """Texts of 0.95 need a size that is close, those of 0.98 do not."""
+    return Model(
+        (
+            lv.name_match("name", (0.98, 0.9)),
+            lv.compare("size", lv.null_level("size"), lv.within_share("size", 0.05), lv.otherwise()),
+        ), 0.0005,
+        {"name": {3: 0.5, 2: 0.3, 1: 0.15, 0: 0.05}, "size": {1: 0.7, 0: 0.3}},
+        {"name": {3: 0.0001, 2: 0.0005, 1: 0.02, 0: 0.9794}, "size": {1: 0.05, 0: 0.95}},
+    )
+
+
+def test_searches_find_every_pair_once_and_form_few(spark, monkeypatch):
+    df, model = sized_texts(spark), sized_text_model()
+    wide, narrow = scoring.text_searches(model, -5.0)
+    assert (wide.least, wide.below, wide.within) == (0.98, None, None)
+    assert (narrow.least, narrow.below) == (0.9, 0.98) and narrow.within is not None
+    full = candidate_pairs(df, None, "id", [block_on("k")])
+    expected = {
+        (r.id_l, r.id_r): r.match_weight
+        for r in score(full, model).where("match_weight >= -5").collect()
+    }
+    assert ("e2", "empty") in expected and ("long", "long2") in expected
+    for group_pairs in (0, scoring.GROUP_PAIRS):  # with and without the narrow search
+        monkeypatch.setattr(scoring, "GROUP_PAIRS", group_pairs)
+        found = scoring.searched_pairs(df, None, "id", block_on("k"), [wide, narrow])
+        assert len(ids(found)) == len(set(ids(found))) < full.count() / 3
+        assert set(expected) <= set(ids(found))
+        got = predict(df, None, "id", [block_on("k")], model, -5.0)
+        # No pair of a block is formed to count its letters.
+        assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+        have = {(r.id_l, r.id_r): r.match_weight for r in got.collect()}
+        assert have == pytest.approx(expected)
+
+
+def test_searches_stand_beside_blocks_of_other_rules(spark):
+    df, model = sized_texts(spark), sized_text_model()
+    rules = [block_on("few"), block_on("k")]
+    want = score(candidate_pairs(df, None, "id", rules), model).where("match_weight >= -5")
+    got = predict(df, None, "id", rules, model, -5.0)
+    keyed = ["id_l", "id_r", "match_key"]
+    assert sorted(got.select(keyed).collect()) == sorted(want.select(keyed).collect())
+    assert got.where("match_key = 0").count() and got.where("match_key = 1").count()
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.3])
+def test_tiles_of_texts_lose_no_similar_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(text_search, "_LETTERS", 40)
+    monkeypatch.setattr(text_search, "_ROWS", 7)
+    left, right = sized_texts(spark, 90), sized_texts(spark, 60, 9)
+    search = text_search.TextSearch(lv.Similarity("name", "name"), threshold)
+    rows = [[(r.id, r.name.encode()) for r in d.collect() if r.name is not None] for d in (left, right)]
+    for others, once in ((1, False), (0, True)):
+        expected = {
+            (a, b)
+            for (a, x), (b, y) in itertools.product(rows[0], rows[others])
+            if (not once or a < b) and (_jaro_winkler(x, y) >= threshold or x == y)
+        }
+        pairs = text_search.text_join(left, [left, right][others], ["k"], "id", search, once, 25)
+        found = ids(pairs)
+        assert len(found) == len(set(found)) and expected <= set(found)
+        assert not once or all(a < b for a, b in found)

@@ -1,12 +1,14 @@
 """Text normalising and similarity against an independent implementation."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import text as names
 from panelforge.functions.ordered import first_non_null, first_value, last_value
-from panelforge.functions.similarity import cosine, jaro_winkler
+from panelforge.functions.similarity import _jaro_winkler, cosine, jaro_winkler
 
 NAMES = [
     "Kraftwerk Müller GmbH & Co. KG",
@@ -126,3 +128,16 @@ def test_ordered_aggregates(spark):
         first_non_null("v", F.when(F.col("k") > 1, F.col("k"))).alias("known"),
     ).first()
     assert (row["first"], row["last"], row["known"]) == ("x", "z", "y")
+
+
+def test_short_texts_are_matched_together_as_one_by_one(spark):
+    rng = random.Random(7)
+    some = ["".join(rng.choices("abcé\0z/1", k=rng.choice([1, 2, 4, 9, 40, 63, 64, 65, 90]))) for _ in range(60)]
+    some += ["", "a", None, "a" * 64]
+    changed = [t if not t else t[: len(t) // 2] + rng.choice("ab") + t[len(t) // 2 + 1 :] for t in some]
+    pairs = [(a, b) for a in some for b in [*rng.sample(some, 20), rng.choice(changed), a]]
+    pairs += list(zip(some, changed, strict=True))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", jaro_winkler(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    want = [None if None in p else _jaro_winkler(p[0].encode(), p[1].encode()) for p in pairs]
+    assert [r.s for r in got] == want
