@@ -434,6 +434,91 @@ def test_combined_levels_form_fewer_pairs_and_lose_none(spark):
         )
 
 
+def dated_records(spark, n=500, seed=12):
+    """Records with dates, prices (some missing, zero or equal) and kinds."""
+    rng = random.Random(seed)
+    prices = [None, 0.0, 10.0, 10.05, 99.0]
+    rows = [
+        (i, rng.choice([1, 2, None]), rng.randint(0, 5), rng.choice(prices), rng.choice("uv"))
+        if i % 3
+        else (i, rng.choice([1, 2]), rng.randint(0, 5), rng.uniform(5, 100), rng.choice("uv"))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "id long, mon int, day int, price double, kind string")
+
+
+def dated_model():
+    comparisons = (
+        lv.compare("mon", lv.null_when((F.col("mon_l") == 1) & (F.col("mon_r") == 1), "mon"),
+                   lv.exact("mon"), lv.otherwise()),
+        lv.compare("day", lv.null_level("day"), lv.exact("day"), lv.within_difference("day", 2),
+                   lv.otherwise()),
+        lv.compare("price", lv.null_level("price"), lv.within_share("price", 0.01),
+                   lv.within_share("price", 0.2), lv.otherwise()),
+        lv.exact_match("kind"),
+    )
+    m = {"mon": {1: 0.9, 0: 0.1}, "day": {2: 0.7, 1: 0.2, 0: 0.1},
+         "price": {2: 0.8, 1: 0.1, 0: 0.1}, "kind": {1: 0.9, 0: 0.1}}
+    u = {"mon": {1: 0.01, 0: 0.99}, "day": {2: 0.17, 1: 0.4, 0: 0.43},
+         "price": {2: 0.01, 1: 0.2, 0: 0.79}, "kind": {1: 0.5, 0: 0.5}}
+    return Model(comparisons, 0.002, m, u)
+
+
+def test_what_a_block_has_equal_is_no_index_and_loses_no_pair(spark):
+    df, model = dated_records(spark), dated_model()
+    rules = [block_on("kind", "day"), block_on("mon")]
+    full = score(candidate_pairs(df, None, "id", rules), model)
+    keyed = ["id_l", "id_r", "match_key", "match_weight", "match_probability"]
+    want = sorted(full.select(keyed).collect())
+    for threshold in (0.0, 2.0):
+        listed = scoring.index_combinations(model, threshold, 0.0, {"day"}, equal=("mon",))
+        # In a block of equal months a key on the month would be all of the block.
+        assert all("mon" not in level.columns for level in listed or ())
+        got = sorted(predict(df, None, "id", rules, model, threshold).select(keyed).collect())
+        assert got == [r for r in want if r.match_weight >= threshold]
+        assert {r.match_key for r in got} == {0, 1}
+
+
+def test_keys_are_worked_out_once_each(spark):
+    """A key of several levels, or tests on it, must not repeat what it is made of."""
+    df, model = dated_records(spark), dated_model()
+    levels = scoring.index_combinations(model, 4.0, 0.0, {"day", "kind", "price"}, equal=("mon",))
+    index = KeyIndex(df, None, block_on("mon"), levels)
+    for at in (0, 1):
+        plan = index.exploded(at)._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in plan and "filter(" not in plan
+        assert plan.count("eq:kind:kind") <= 1 and plan.count("eq:day:day") <= 1
+    # Each key of a record comes once, and none is missing.
+    rows = index.exploded(1).select("id", "_key").collect()
+    assert len(rows) == len(set(rows))
+    keys = index.right.select("id", F.explode("_keys").alias("_key")).where("_key IS NOT NULL")
+    assert sorted(rows) == sorted(keys.collect())
+
+
+def test_numbers_by_pattern_equal_those_by_pair(spark):
+    df, model = dated_records(spark, 120), dated_model()
+    pairs = score(candidate_pairs(df, None, "id", [block_on("kind")]), model)
+    by_pattern = scoring.per_pattern(model, lambda w: F.round(scoring.probability(w), 9))
+    both = pairs.select(
+        F.round(scoring.probability(F.col("match_weight")), 9).alias("pair"),
+        by_pattern.alias("pattern"),
+        F.round("match_weight", 6).alias("w"),
+        scoring.per_pattern(model, lambda w: F.round(w, 6), 1.0).alias("high"),
+        (F.col("match_probability") == scoring.probability(F.col("match_weight"))).alias("same"),
+        "match_weight",
+    ).collect()
+    assert all(r.pair == r.pattern and r.same for r in both)
+    assert all(r.high == (r.w if r.match_weight >= 1.0 else None) for r in both)
+    assert {r.high is None for r in both} == {True, False}
+    from panelforge.plans.linking import _rounded, _rounded_by_pattern
+
+    quick = _rounded_by_pattern(pairs.where("match_weight >= 1"), model, 1.0)
+    assert "round(" not in quick._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(quick.collect()) == sorted(_rounded(pairs.where("match_weight >= 1")).collect())
+    # Weights that depend on the value too have no number by pattern.
+    assert scoring.per_pattern(a_model(), lambda w: w) is None
+
+
 def test_best_by_weight_settles_ties_by_partner_and_keeps_rows_whole(spark):
     rows = [
         ("a", 2, 5.0, "x"), ("a", 1, 5.0, "b"), ("a", 3, 5.0, "z"), ("a", 0, 4.0, "y"),
